@@ -5,24 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpmill.llm import split, vectors
+from kelpmill.llm.neardup import NearDuplicates
 from kelpmill.session import table
 
 EDITED = ("notion", "gdrive", "github", "filesystem", "note")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kelpmill.llm.neardup import NearDuplicates
-
     docs = table(spark, sf_dir, "brain_documents").filter(F.col("source_type").isin(*EDITED))
     near = NearDuplicates(docs, "source_id", "content", words_per_shingle=3, threshold=0.6, bands=50, rows=4)
     return near.pairs().select(F.col("a").alias("source_id_a"), F.col("b").alias("source_id_b"))
 
 
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kelpmill.llm.neardup import NearDuplicates
-
     return NearDuplicates(table(spark, sf_dir, "documents"), "doc_id", "text").documents()
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes}
-SQL: dict[str, str] = {}
+def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "brain_documents").select("record_id", "source_type", "content")
+    return split.with_limits(docs, table(spark, sf_dir, "split_limits"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = split.oversized_pieces(_limited(spark, sf_dir), "record_id", "content")
+    return cut.filter("piece_no = 2").select(F.col("row").alias("record_id"))  # a row that was cut has a second piece
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.pieces(_limited(spark, sf_dir), "record_id", "content").withColumnRenamed("row", "record_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.similar(table(spark, sf_dir, "brain_documents"), "source_id", "embedding", "record_id")
+    return near.select(F.least("a", "b").alias("source_id_a"), F.greatest("a", "b").alias("source_id_b")).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
+SQL: dict[str, str] = {
+    "p4_found": "SELECT record_id FROM brain_documents JOIN split_limits USING (source_type) WHERE length(content) > max_chars",
+}
