@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpmill.llm import split, vectors
+from kelpmill.llm import speech, split, vectors
 from kelpmill.llm.neardup import NearDuplicates
 from kelpmill.session import table
 
@@ -41,7 +41,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("a", "b").alias("source_id_a"), F.greatest("a", "b").alias("source_id_b")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = speech.turns_of_segments(table(spark, sf_dir, "whisper_segments"), table(spark, sf_dir, "diar_segments"))
+    return rows.select("recording_id", "seg_index", "turn_no", "speaker_no").distinct()
+
+
+def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speech.turns(table(spark, sf_dir, "whisper_segments"), table(spark, sf_dir, "diar_segments"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_turns": p5_turns, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
 SQL: dict[str, str] = {
     "p4_found": "SELECT record_id FROM brain_documents JOIN split_limits USING (source_type) WHERE length(content) > max_chars",
 }
