@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpmill.llm import speech, split, vectors
+from kelpmill.llm import leaks, mixing, speech, split, vectors
 from kelpmill.llm.neardup import NearDuplicates
 from kelpmill.session import table
 
@@ -50,7 +50,26 @@ def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speech.turns(table(spark, sf_dir, "whisper_segments"), table(spark, sf_dir, "diar_segments"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_turns": p5_turns, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks of each item: documents touched, and those that hold at least half of its words."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.count_if(F.col("covered") * 2 >= F.col("item_words")).alias("at_least_half"), F.max("longest").alias("longest"))
+
+
+def p9_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*mixing.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+
+
+QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p5_found": p5_found, "p5_turns": p5_turns, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
 SQL: dict[str, str] = {
     "p4_found": "SELECT record_id FROM brain_documents JOIN split_limits USING (source_type) WHERE length(content) > max_chars",
 }
