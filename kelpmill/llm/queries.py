@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpmill.llm import leaks, mixing, speech, split, vectors
+from kelpmill.llm import leaks, mail, mixing, speech, split, vectors
 from kelpmill.llm.neardup import NearDuplicates
 from kelpmill.session import table
 
@@ -69,7 +69,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*mixing.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
 
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p5_found": p5_found, "p5_turns": p5_turns, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mail.new_lines(table(spark, sf_dir, "brain_documents"), table(spark, sf_dir, "gmail_messages"))
+
+
+def p3_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mail.new_text(table(spark, sf_dir, "brain_documents"), table(spark, sf_dir, "gmail_messages"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_new_text": p3_new_text, "p8_found": p8_found, "p8_items": p8_items, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p5_found": p5_found, "p5_turns": p5_turns, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
 SQL: dict[str, str] = {
     "p4_found": "SELECT record_id FROM brain_documents JOIN split_limits USING (source_type) WHERE length(content) > max_chars",
 }
