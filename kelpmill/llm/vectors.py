@@ -3,8 +3,8 @@
 A hash is a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and the signed axis nearest to
 the rotated unit vector, of 2 d. A table uses `depth` rotations together; a vector is put into its own cell and is
 also looked up in cells whose last axis is the next best (multiprobe). Within a cell, vectors are compared exactly,
-block by block, and of each vector only its k best at least min_similarity are passed on; the k best over all
-tables are the answer. Depth follows the number of vectors, so that cells keep their mean size at every scale.
+block by block on packed copies, and of each vector only its k best (within MARGIN) are passed on; pairs found in any
+table are reranked by their exact similarity. Depth follows the number of vectors, so that cells keep their mean size at every scale.
 
 Bounds: equal vectors are hashed once and expanded at the end; a crowded cell is cut into blocks, and its pairs of
 blocks are spread over tasks, so that no task holds a whole crowded cell.
@@ -27,6 +27,7 @@ from pyspark.sql import Window
 from kelpmill.session import written
 
 BLOCK = 1024
+MARGIN = 0.01  # of similarities of packed vectors
 
 
 def usable(v: Column, dim: int) -> Column:
@@ -67,8 +68,19 @@ def _unit(column, dim: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Unit vectors in eight bits a value, after their scale; products of two are right to MARGIN."""
+    scale = np.abs(x).max(axis=1, keepdims=True) / np.float32(127)
+    return [r.tobytes() for r in np.concatenate([scale.astype(np.float32).view(np.int8), np.rint(x / scale).astype(np.int8)], axis=1)]
+
+
+def _unpacked(column, dim: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim + 4)
+    return raw[:, 4:].astype(np.float32) * raw[:, :4].copy().view(np.float32)
+
+
 def _hashed(dim: int, tables: int, depth: int, probes: int):
-    """Batches (vid, v) -> (vid, q: unit vector as bytes, cells: one per table and probe, own: the first of its table)."""
+    """Batches (vid, v) -> (vid, q: packed unit vector, cells: one per table and probe, own: the first of its table)."""
 
     def run(batches):
         for b in batches:
@@ -83,7 +95,7 @@ def _hashed(dim: int, tables: int, depth: int, probes: int):
                     key = key * base + axes(x, 1000 * t + k, 1)[:, 0]
                 cells[:, t, :] = key[:, None] * base + axes(x, 1000 * t + depth - 1, probes)
             offsets = np.arange(0, len(x) * tables * probes + 1, tables * probes)
-            yield pa.RecordBatch.from_arrays([b.column("vid"), pa.array([r.tobytes() for r in x], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cells.reshape(-1)))], names=["vid", "q", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column("vid"), pa.array(_packed(x), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cells.reshape(-1)))], names=["vid", "q", "cells"])
 
     return run
 
@@ -105,7 +117,7 @@ def _compare(dim: int, k: int, least: float):
                 continue
             if s.shape[1] > k:
                 cut = np.partition(s, -k, axis=1)[:, -k]
-                hits &= s >= cut[:, None]
+                hits &= s >= cut[:, None] - MARGIN
             i, j = np.nonzero(hits)
             yield ids[rows[i]], ids[r[j]], s[i, j]
 
@@ -127,7 +139,7 @@ def _compare(dim: int, k: int, least: float):
 
         for b in batches:
             key = np.stack([b.column("cell").to_numpy(), b.column("part").to_numpy()], 1)
-            data = (key, b.column("vid").to_numpy(), np.frombuffer(b"".join(b.column("q").to_pylist()), np.float32).reshape(-1, dim), b.column("l").to_numpy(zero_copy_only=False), b.column("r").to_numpy(zero_copy_only=False))
+            data = (key, b.column("vid").to_numpy(), _unpacked(b.column("q"), dim), b.column("l").to_numpy(zero_copy_only=False), b.column("r").to_numpy(zero_copy_only=False))
             if rest is not None:
                 data = tuple(np.concatenate(p) for p in zip(rest, data))
             key = data[0]
@@ -146,7 +158,7 @@ def _compare(dim: int, k: int, least: float):
     return run
 
 
-def similar(df: DataFrame, id_col: str, vector_col: str, order_col: str, dim: int = 64, k: int = 5, min_similarity: float = 0.8, tables: int = 12, probes: int = 3, mean_cell: int = 6) -> DataFrame:
+def similar(df: DataFrame, id_col: str, vector_col: str, order_col: str, dim: int = 64, k: int = 5, min_similarity: float = 0.8, tables: int = 10, probes: int = 3, mean_cell: int = 6) -> DataFrame:
     """(a, b, similarity, rank): for each usable id a, its up to k most similar ids b of at least min_similarity."""
     rows = df.filter(usable(F.col(vector_col), dim) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("v"), F.col(order_col).alias("o"))
     one = rows.groupBy("id").agg(F.min_by("v", "o").alias("v"))
@@ -177,10 +189,11 @@ def similar(df: DataFrame, id_col: str, vector_col: str, order_col: str, dim: in
 def _finish(placed: DataFrame, shared: DataFrame, hashed: DataFrame, ids: DataFrame, distinct: DataFrame, dim: int, k: int, least: float) -> DataFrame:
     with_q = placed.join(shared, ["cell", "part"], "left_semi").join(hashed.select("vid", "q"), "vid")
     sorted_rows = with_q.select("cell", "part", "vid", "q", "l", "r").repartition("cell", "part").sortWithinPartitions("cell", "part")
-    found = sorted_rows.mapInArrow(_compare(dim, k, least - 1e-4), "a long, b long, s float")
-    pairs, _ = written(found.select("a", "b").distinct(), "neighbours")
+    found = sorted_rows.mapInArrow(_compare(dim, k, least - MARGIN), "a long, b long, s float")
+    pairs, _ = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neighbours")
     va, vb = distinct.select(F.col("vid").alias("a"), F.col("v").alias("va")), distinct.select(F.col("vid").alias("b"), F.col("v").alias("vb"))
     exact = pairs.join(va, "a").join(vb, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") >= least)
+    exact = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     members = ids.select("id", "vid")
     # of the copies of a vector the k + 1 least ids can be among k neighbours of anything
     ranked = members.withColumn("_k", F.row_number().over(Window.partitionBy("vid").orderBy("id"))).filter(F.col("_k") <= k + 1).drop("_k")
