@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpmill.llm import leaks, mail, mixing, speech, split, vectors
+from kelpmill.llm import leaks, mail, mixing, personal, speech, split, subjects, vectors
 from kelpmill.llm.neardup import NearDuplicates
 from kelpmill.session import table
 
@@ -77,7 +77,33 @@ def p3_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail.new_text(table(spark, sf_dir, "brain_documents"), table(spark, sf_dir, "gmail_messages"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_new_text": p3_new_text, "p8_found": p8_found, "p8_items": p8_items, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p5_found": p5_found, "p5_turns": p5_turns, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
+FIELDS = (("brain_documents", "content"), ("ingest_sms", "body"), ("ingest_sms", "contact_name"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, c = (personal.find(table(spark, sf_dir, t), "record_id", f) for t, f in FIELDS)
+    return a.unionByName(b).unionByName(c).select("field_name", "record_id", "start_char", "kind")
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, c = (personal.redacted(table(spark, sf_dir, t), "record_id", f).select(F.lit(f).alias("field_name"), "record_id", "text") for t, f in FIELDS)
+    return a.unionByName(b).unionByName(c)
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and sentences of each subject."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.sum("hits").alias("sentences"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_redacted": p7_redacted, "p10_found": p10_found, "p10_composition": p10_composition, "p3_found": p3_found, "p3_new_text": p3_new_text, "p8_found": p8_found, "p8_items": p8_items, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p5_found": p5_found, "p5_turns": p5_turns, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
 SQL: dict[str, str] = {
     "p4_found": "SELECT record_id FROM brain_documents JOIN split_limits USING (source_type) WHERE length(content) > max_chars",
 }
