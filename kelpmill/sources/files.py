@@ -1,0 +1,64 @@
+"""Files as documents: recursive scan, incremental rule, live ids, mapping, latest export by prefix."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kelpmill.sources.extract import extracted
+
+#: Folders and extensions that hold no text of the user.
+SKIP_FOLDERS = (".git", "node_modules", "vendor", "__pycache__", ".venv", "dist", "build")
+SKIP_EXTENSIONS = ("exe", "dll", "so", "bin", "png", "jpg", "jpeg", "gif", "mp3", "mp4", "m4a", "wav", "zip", "gz", "tar")
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """Path relative to root, name, extension, size, modification time and content, lazily read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = root.replace("file://", "").rstrip("/") + "/"
+    rel = F.substring_index(F.col("path"), base, -1)
+    name = F.substring_index(rel, "/", -1)
+    ext = F.lower(F.when(name.contains("."), F.substring_index(name, ".", -1)).otherwise(""))
+    rows = rows.select(rel.alias("source_id"), name.alias("name"), ext.alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    inside = F.exists(F.slice(F.split("source_id", "/"), 1, F.greatest(F.size(F.split("source_id", "/")) - 1, F.lit(0))), lambda f: f.isin(*SKIP_FOLDERS))
+    return rows.filter(~inside & ~F.col("ext").isin(*SKIP_EXTENSIONS) & (F.octet_length("name") <= 255))
+
+
+def incremental(files: DataFrame, since: Column, known: DataFrame) -> DataFrame:
+    """Changed since, or never seen."""
+    ids = known.select("source_id").distinct().withColumn("_known", F.lit(True))
+    return files.join(ids, "source_id", "left").filter((F.col("mtime") > since) | F.col("_known").isNull()).drop("_known")
+
+
+def live_ids(files: DataFrame) -> DataFrame:
+    """An empty scan is an error of the caller, not a reason to delete."""
+    return files.select("source_id").distinct()
+
+
+def documents(files: DataFrame) -> DataFrame:
+    """One document per file."""
+    meta = F.to_json(F.struct(F.col("source_id").alias("path"), "ext", "size", F.regexp_replace("source_id", "/?[^/]*$", "").alias("dir")))
+    return files.select(F.lit("filesystem").alias("source_type"), "source_id", F.col("name").alias("title"), extracted(F.col("content"), F.col("name")).alias("content"), meta.alias("metadata"), F.col("mtime").alias("collected_at"))
+
+
+def latest_by_prefix(files: DataFrame, prefix: str) -> DataFrame:
+    """The greatest name, then the newest."""
+    return files.filter(F.col("name").startswith(prefix)).agg(F.max_by("source_id", F.struct("name", "mtime")).alias("source_id"))
+
+
+def upload_id(name: Column, data: Column) -> Column:
+    """S27."""
+    return F.concat(F.lit("upload:"), F.substring(F.sha2(F.concat(name.cast("binary"), data), 256), 1, 12))
+
+
+def audio_kind(data: Column) -> Column:
+    """Container of a recording by its first bytes, or null."""
+    head = F.hex(F.substring(data, 1, 12))
+    return F.when(head.startswith("52494646") & head.endswith("57415645"), "wav").when(head.startswith("494433") | head.rlike("^FF[EF]"), "mp3").when(F.substring(head, 9, 8) == "66747970", "m4a").when(head.startswith("664C6143"), "flac").when(head.startswith("4F676753"), "ogg")
+
+
+def recorded_at(name: Column, mtime: Column) -> Column:
+    """Time in the file name (20250601_120000 or 250601_120000), else the modification time."""
+    long, short = F.regexp_extract(name, r"(20\d{6})[_-]?(\d{6})", 0), F.regexp_extract(name, r"(?<!\d)(\d{6})[_-](\d{6})(?!\d)", 0)
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    return F.coalesce(F.try_to_timestamp(digits(long), F.lit("yyyyMMddHHmmss")), F.try_to_timestamp(digits(short), F.lit("yyMMddHHmmss")), mtime)
