@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from kelpmill.session import written
+
 BIN = 30.0  # seconds
 STRETCH, MARGIN = 2000, 50
 
@@ -183,8 +185,9 @@ def by_markov_model(said: DataFrame) -> DataFrame:
 
 def turns_of_segments(segments: DataFrame, diarization: DataFrame) -> DataFrame:
     """(recording_id, seg_index, start_sec, end_sec, text, turn_no, speaker_no) of every segment with a word."""
-    said = spoken(segments)
+    said, _ = written(spoken(segments), "spoken")  # read by several branches: cleaned once
     diar = diarization.select("recording_id", key_column(F.col("speaker")).alias("speaker"), F.col("start_sec").cast("double").alias("start_sec"), F.col("end_sec").cast("double").alias("end_sec")).filter("speaker IS NOT NULL AND start_sec IS NOT NULL").distinct()
+    diar, _ = written(diar, "diarization")
     covered = diar.select("recording_id").distinct()
     heard = said.join(covered, "recording_id", "left_semi")
     alone = said.join(covered, "recording_id", "left_anti")
@@ -193,6 +196,7 @@ def turns_of_segments(segments: DataFrame, diarization: DataFrame) -> DataFrame:
     nearest = by_distance(rest, diar.join(rest.select("recording_id").distinct(), "recording_id", "left_semi"))
     own = alone.filter("label IS NOT NULL").select("uid", F.col("label").alias("speaker"))
     guessed = by_markov_model(alone).join(own.select("uid"), "uid", "left_anti")
+    guessed, _ = written(guessed, "guessed")
     speakers = longest.unionByName(nearest).unionByName(own).unionByName(guessed)
     rows = said.drop("label").join(speakers, "uid", "left").withColumn("speaker", F.coalesce("speaker", F.lit("?")))
     order = Window.partitionBy("recording_id").orderBy("start_sec", "seg_index", "end_sec", "uid")
