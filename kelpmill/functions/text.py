@@ -109,7 +109,7 @@ def normalized_url(url: Column) -> Column:
 def action_summary(text: Column, kind: Column) -> Column:
     """normalised summary of an action; blank for awaiting_reply."""
     plain = F.regexp_replace(F.lower(collapsed(text)), r"[\p{P}\p{S}]", "")
-    return F.when(kind == "awaiting_reply", "").otherwise(F.decode(F.substring(F.encode(plain, "utf-8"), 1, 80), "utf-8"))
+    return F.when(kind == "awaiting_reply", "").otherwise(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(plain, "utf-8"), 1, 80).cast("string")), "\uFFFD+$", ""))
 
 
 def identity_key(*parts: Column) -> Column:
