@@ -38,4 +38,4 @@ def _redacted(texts: pd.Series) -> pd.Series:
 
 
 def redacted(text: Column) -> Column:
-    return F.pandas_udf(_redacted, "string", F.PandasUDFType.SCALAR)(text)
+    return F.pandas_udf(_redacted, "string")(text)

@@ -125,7 +125,7 @@ def _chunks(texts: pd.Series, sources: pd.Series) -> pd.Series:
 
 def chunked(docs: DataFrame) -> DataFrame:
     """(id, chunk_index, chunk, byte_size) of docs: id, source_type, content."""
-    of = F.pandas_udf(_chunks, "array<string>", F.PandasUDFType.SCALAR)
+    of = F.pandas_udf(_chunks, "array<string>")
     rows = docs.filter("content IS NOT NULL").select("id", F.posexplode(of("content", "source_type")).alias("chunk_index", "chunk"))
     return rows.withColumn("byte_size", F.octet_length("chunk"))
 

@@ -147,4 +147,4 @@ def _extracted(data: pd.Series, paths: pd.Series) -> pd.Series:
 
 
 def extracted(data: Column, path: Column) -> Column:
-    return F.pandas_udf(_extracted, "string", F.PandasUDFType.SCALAR)(data, path)
+    return F.pandas_udf(_extracted, "string")(data, path)

@@ -11,24 +11,28 @@ from pyspark.sql import functions as F
 from kelpmill.functions import text as X
 
 OUT = ("source_type", "source_id", "title", "content", "metadata", "occurred_at")
-SMS_XML = "_address string, _body string, _date long, _type int, _contact_name string"
-CALL_XML = "_number string, _date long, _duration int, _type int, _contact_name string"
+SMS_XML = {"address": ("_address", "string"), "body": ("_body", "string"), "date_ms": ("_date", "bigint"), "msg_type": ("_type", "int"), "contact_name": ("_contact_name", "string")}
+CALL_XML = {"number": ("_number", "string"), "date_ms": ("_date", "bigint"), "duration_sec": ("_duration", "int"), "call_type": ("_type", "int"), "contact_name": ("_contact_name", "string")}
 
 
 def _doc(rows: DataFrame, kind: str, id_: Column, title: Column, content: Column, meta: dict[str, Column], at: Column) -> DataFrame:
     return rows.select(F.lit(kind).alias("source_type"), id_.alias("source_id"), title.alias("title"), content.alias("content"), F.to_json(F.struct(*[c.alias(k) for k, c in meta.items()])).alias("metadata"), at.alias("occurred_at"))
 
 
+def _xml(spark: SparkSession, path: str, tag: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Attributes are read as text and cast leniently: a malformed element or value becomes null, not an error."""
+    raw = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").schema(", ".join(f"{a} string" for a, _ in fields.values())).load(path)
+    return raw.select(*[F.expr(f"try_cast({a} AS {t})").alias(n) for n, (a, t) in fields.items()]).filter("date_ms IS NOT NULL")
+
+
 def sms_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Broken elements become nulls and fall away, a truncated file gives what it has."""
-    rows = spark.read.format("xml").option("rowTag", "sms").option("mode", "PERMISSIVE").schema(SMS_XML).load(path)
-    return rows.filter("_date IS NOT NULL").select(*[F.col("_" + c).alias(n) for c, n in (("address", "address"), ("body", "body"), ("date", "date_ms"), ("type", "msg_type"), ("contact_name", "contact_name"))])
+    """Broken elements fall away, a truncated file gives what it has."""
+    return _xml(spark, path, "sms", SMS_XML)
 
 
 def calls_xml(spark: SparkSession, path: str) -> DataFrame:
     """S21."""
-    rows = spark.read.format("xml").option("rowTag", "call").option("mode", "PERMISSIVE").schema(CALL_XML).load(path)
-    return rows.filter("_date IS NOT NULL").select(*[F.col("_" + c).alias(n) for c, n in (("number", "number"), ("date", "date_ms"), ("duration", "duration_sec"), ("type", "call_type"), ("contact_name", "contact_name"))])
+    return _xml(spark, path, "call", CALL_XML)
 
 
 def map_sms(sms: DataFrame) -> DataFrame:

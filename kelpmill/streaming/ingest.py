@@ -27,10 +27,11 @@ class Snapshot:
         self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _pointer(self) -> dict:
-        p = self._fs_path(f"{self.path}/_current.json")
-        if not self._fs.exists(p):
-            return {"version": -1, "batches": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/_current.json").first()[0])
+        """The pointer, or, if a writer died between removing the old and naming the new one, the newest written."""
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._fs_path(self.path))] if self._fs.exists(self._fs_path(self.path)) else []
+        left = sorted((n for n in names if n.startswith("v") and n.endswith(".json")), key=lambda n: int(n[1:-5]))
+        name = "current.json" if "current.json" in names else left[-1] if left else None
+        return json.loads(self.spark.read.text(f"{self.path}/{name}").first()[0]) if name else {"version": -1, "batches": {}}
 
     def read(self) -> DataFrame:
         v = self._pointer()["version"]
@@ -44,9 +45,12 @@ class Snapshot:
         v = now["version"] + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
         batches = now["batches"] | ({source: batch} if batch is not None else {})
-        out = self._fs.create(self._fs_path(f"{self.path}/_current.json"), True)
+        fresh, pointer = (self._fs_path(f"{self.path}/{n}") for n in (f"v{v}.json", "current.json"))
+        out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps({"version": v, "batches": batches}).encode()))
         out.close()
+        self._fs.delete(pointer, False)
+        self._fs.rename(fresh, pointer)
         return True
 
 
@@ -54,7 +58,7 @@ def upserting(target: Snapshot, keys: list[str], order: str, source: str) -> Cal
     """ST1/ST5: foreachBatch function that merges a batch into a snapshot."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        target.write(S.upsert(target.read(), S.latest(batch, keys, order).withColumn(order, F.lit(None).cast(dict(batch.dtypes)[order])) if order not in target.schema else S.latest(batch, keys, order), keys), source, batch_id)
+        target.write(S.upsert(target.read(), S.latest(batch, keys, order), keys), source, batch_id)
 
     return run
 
