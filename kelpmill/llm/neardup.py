@@ -30,24 +30,29 @@ _U = np.uint64
 
 
 def probminhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, m: int, seed: int = 1) -> np.ndarray:
-    """Registers (n, m) of the earliest arrivals of n weighted sets, as the bits of the arrival times.
+    """Registers (n, m) of n weighted sets: the element whose arrival on the register is the earliest.
 
     elements: hashes; weights: above 0; owner: the set of each element, 0 to n - 1, every set with an element.
     """
     registers = np.full((n, m), np.inf)
     flat, latest = registers.reshape(-1), np.full(n, np.inf)
-    state = mix(elements ^ _U(seed * 0x9E3779B9))
+    winners = np.zeros(n * m, np.uint64)
+    element = elements.astype(np.uint64)
+    state = mix(element ^ _U(seed * 0x9E3779B9))
     time, rate, own = np.zeros(len(elements)), weights.astype(np.float64), owner.astype(np.int64)
     while len(own):
         state = mix(state + _U(0x9E3779B97F4A7C15))
         time = time - np.log(uniform(state)) / rate
         live = time < latest[own]
-        state, time, rate, own = state[live], time[live], rate[live], own[live]
+        state, time, rate, own, element = state[live], time[live], rate[live], own[live], element[live]
         register = (mix(state ^ _U(0xD6E8FEB86659FD93)) % _U(m)).astype(np.int64)
-        np.minimum.at(flat, own * m + register, time)
+        at = own * m + register
+        np.minimum.at(flat, at, time)
+        first = flat[at] == time
+        winners[at[first]] = element[first]
         touched = np.unique(own)
         latest[touched] = registers[touched].max(axis=1)
-    return registers.view(np.int64)
+    return winners.reshape(n, m)
 
 
 def _shingle_sets(n_words: int, weighted: bool):
@@ -93,7 +98,7 @@ def _bands(bands: int, rows: int, weighted: bool):
             for lo in range(0, len(sizes), 512):  # so that registers stay in cache
                 part = slice(lo, min(lo + 512, len(sizes)))
                 mine = (owner >= lo) & (owner < part.stop) if len(sizes) > 512 else slice(None)
-                reg = probminhash(values[mine], weights[mine], owner[mine] - lo, part.stop - lo, bands * rows).view(np.uint64)
+                reg = probminhash(values[mine], weights[mine], owner[mine] - lo, part.stop - lo, bands * rows)
                 h = np.broadcast_to(np.arange(bands, dtype=np.uint64), (part.stop - lo, bands)).copy()
                 for r in range(rows):
                     h = mix(h * _U(0x9E3779B97F4A7C15) + reg[:, r::rows])

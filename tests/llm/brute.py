@@ -2,10 +2,52 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
+import numpy as np
+
 from kelpmill.llm.speech import clean, speaker_key
 
+WORD = re.compile(r"[^\W_]+")
+
+
+def grams(text: str | None, n: int) -> set[tuple]:
+    w = WORD.findall((text or "").lower())
+    return set(zip(*(w[i:] for i in range(n))))
+
+
+def similar_texts(texts: dict[str, str], n: int, threshold: float) -> set[tuple]:
+    sets = {k: g for k, t in texts.items() if (g := grams(t, n))}
+    ids = sorted(sets)
+    return {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+
+
+def neighbours(vectors: dict[str, list[float]], k: int, least: float) -> set[tuple]:
+    ids = sorted(vectors)
+    x = np.array([vectors[i] for i in ids], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    out = set()
+    for i, row in enumerate(s):
+        for j in np.argsort(-row, kind="stable")[:k]:
+            if row[j] >= least:
+                out.add(tuple(sorted((ids[i], ids[j]))))
+    return out
+
+
+def greedy_cuts(succ: list[int]) -> list[int]:
+    out, at = [], 0
+    while at < len(succ) - 1:
+        at = succ[at]
+        out.append(at)
+    return out
+
+
+def leaks(docs: dict[int, str], items: dict[int, str], n: int) -> set[tuple]:
+    return {(d, i) for d, t in docs.items() for i, u in items.items() if grams(t, n) & grams(u, n)}
+
 
 def turns(segments: list[tuple], diar: list[tuple]) -> set[tuple]:
     """segments: (recording, index, start, end, text); diar: (recording, start, end, label)."""
