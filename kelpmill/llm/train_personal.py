@@ -79,7 +79,7 @@ def labels(text: str, names: Names) -> list[tuple[int, int, int]]:
     for m in P.PHONE.finditer(text):
         d = re.sub(r"\D", "", m[0])
         before = text[max(0, m.start() - 22) : m.start()]
-        if not (m[0][0] in "+(（" or d[0] in "0０" or re.fullmatch(r"[2-9]\d\d[-.]\d{3}[-.]\d{4}", m[0])) or re.search(r"TRK|Invoice|Batch|code|번호 $|Version|version|버전", before) and m[0][0] not in "+(0" or P.align(text, *m.span(), "phone") is None:
+        if not (m[0][0] in "+(（" or d[0] in "0０" or re.fullmatch(r"[2-9]\d\d[-.]\d{3}[-.]\d{4}", m[0])) or re.search(r"TRK|Invoice|Batch|code|번호 $|Version|version|버전", before) and m[0][0] not in "+(0０" or P.align(text, *m.span(), "phone") is None:
             continue
         add(1, *m.span())
     for s, e in names.spans(text, taken):
