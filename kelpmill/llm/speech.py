@@ -98,7 +98,7 @@ def key_column(label: Column) -> Column:
 def spoken(segments: DataFrame) -> DataFrame:
     """Distinct segments that still hold a word: recording_id, seg_index, start_sec, end_sec, text, label, uid."""
     rows = segments.select("recording_id", "seg_index", "start_sec", "end_sec", "seg_text").filter("recording_id IS NOT NULL").distinct()
-    said = rows.withColumn("c", F.pandas_udf(_cleaned, "text string, label string", F.PandasUDFType.SCALAR)("seg_text")).filter(F.col("c.text") != "").select("recording_id", "seg_index", "start_sec", "end_sec", "seg_text", F.col("c.text").alias("text"), F.col("c.label").alias("label"))
+    said = rows.withColumn("c", F.pandas_udf(_cleaned, "text string, label string")("seg_text")).filter(F.col("c.text") != "").select("recording_id", "seg_index", "start_sec", "end_sec", "seg_text", F.col("c.text").alias("text"), F.col("c.label").alias("label"))
     return said.withColumn("uid", F.xxhash64("recording_id", "seg_index", "start_sec", "end_sec", "seg_text")).drop("seg_text")
 
 
