@@ -1,4 +1,4 @@
-"""Trains the network of personal.py: python -m kelpmill.llm.train_personal SF_DIR [MINUTES].
+"""Trains the network of personal.py: python -m kelpmill.llm.train_personal SF_DIR [MINUTES [1 to go on]].
 
 Spans of the sample are labelled by the patterns of their kind and by names that stand in mail headers and contact
 names; in a third of the windows names are exchanged for invented ones, so that the network learns places and shapes
@@ -94,7 +94,7 @@ def invented(rng: np.random.Generator, like: str) -> str:
     return made.upper() if like.isupper() and len(like) > 1 else made.capitalize()
 
 
-def main(sf_dir: str, minutes: float = 3.0) -> None:
+def main(sf_dir: str, minutes: float = 3.0, go_on: float = 0.0) -> None:
     import duckdb
 
     q = lambda sql: [r[0] for r in duckdb.sql(sql).fetchall()]
@@ -146,12 +146,13 @@ def main(sf_dir: str, minutes: float = 3.0) -> None:
                     text = text[: a - s] + new + text[b - s :]
                     tags = np.r_[tags[: a - s], [9], np.full(len(new) - 1, 10), tags[b - s :]].astype(np.int8)
             if tags.any() or rng.random() < 0.4:
-                examples.append((tagger.encode(text), tags))
+                examples += [(tagger.encode(text), tags)] * (6 if len(t) < 30 else 1)  # contact names: few, and without context
     print(len(examples), "windows", flush=True)
-    p = tagger.init(P.TAGS)
-    opt, began, step, losses = tagger.Adam(p, 0.012), time.time(), 0, []
+    p = P.load()[0] if go_on else tagger.init(P.TAGS)
+    fast = 0.003 if go_on else 0.012
+    opt, began, step, losses = tagger.Adam(p, fast), time.time(), 0, []
     while time.time() - began < minutes * 60:
-        opt.rate = 0.012 * max(0.08, 1 - (time.time() - began) / (minutes * 60))
+        opt.rate = fast * max(0.08, 1 - (time.time() - began) / (minutes * 60))
         pick = rng.integers(0, len(examples), 512)
         pick = sorted(pick, key=lambda i: len(examples[i][0]))
         for lo in range(0, 512, 128):
@@ -179,4 +180,4 @@ def main(sf_dir: str, minutes: float = 3.0) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], *map(float, sys.argv[2:3]))
+    main(sys.argv[1], *map(float, sys.argv[2:4]))
