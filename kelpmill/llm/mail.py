@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from kelpmill.llm import trees
 from kelpmill.llm.text import WORD
+from kelpmill.session import written
 
+COMMON = 0.002  # a sentence that stands in a greater share of all threads is a phrase and no sign of a quotation
 MODEL = os.path.join(os.path.dirname(__file__), "models", "mail_trees.json")
 
 #: Phrases of the five languages.
@@ -42,7 +44,12 @@ CLOSINGS = (
     "감사합니다", "고맙습니다", "안부 전하며", "드림", "올림", "수고하세요",
 )
 DEVICE = re.compile(r"^(sent from (my|a)\b|get the .{0,30}app|von meinem .{0,20}gesendet|gesendet von|envoyé (de|depuis) mon|enviado desde mi|(내|나의) .{0,12}에서 보냄)", re.IGNORECASE)
-LEGAL = re.compile(r"confidential|addressee|received this|not necessarily those|unauthorised use|prohibited|delete it|tell the sender|this mail is|organisation\.|vertraulich|irrtümlich|empfänger bestimmt|löschen sie|diese e-mail|confidentiel|par erreur|le détruire|réservé à son|destinatario|bórrelo|por error|confidencial|지정된 수신인|기밀 정보|잘못 수신|삭제해 주시기", re.IGNORECASE)
+LEGAL = re.compile(
+    r"this message and any|attachment are confidential|meant only for|addressee|received this e-?mail|not necessarily those|confidentiality notice|unauthorised use|copying of|mail is prohibited|delete it and|tell the sender|views given here"
+    r"|vertrauliche informationen|irrtümlich erhalten|empfänger bestimmt|löschen sie sie|diese e-mail enthält|confidentiel et réservé|reçu par erreur|merci de le détruire|réservé à son"
+    r"|confidencial y va|solo a su destinatario|bórrelo|recibido por error|지정된 수신인|기밀 정보를|잘못 수신|삭제해 주시기",
+    re.IGNORECASE,
+)
 WROTE = re.compile(
     r"^(on\b.{4,120}\bwrote:|.{2,60}\bwrote on\b.{4,30}:|am\b.{4,60}\bschrieb\b.{1,80}:|le\b.{4,60}\ba écrit\s*:|el\b.{4,60}\bescribió:|.{4,120}님이 작성:|\d{1,2}[/.]\d{1,2}[/.]\d{2,4} \d{1,2}:\d{2}, .{2,60}:|wrote:|schrieb:|escribió:|a écrit\s*:)\s*$",
     re.IGNORECASE,
@@ -58,6 +65,7 @@ ROLE = re.compile(r"^(e-?mail:|tel\.?|t:|mobile|mobil|☎|✉|fax|phone)", re.IG
 POSTAL = re.compile(r"^(flat \d+, )?\d+ [A-Z]\S+( [A-Z]\S+)+, [A-Z]|^[^.!?]{3,60}\b\d{1,4},? \d{5} [A-Z]|^[^.!?]*시 \S+(로|길|대로) ?[\d길 ]*\d+", re.UNICODE)
 POSTSCRIPT = re.compile(r"^p\.?\s?s\.?\b|^추신", re.IGNORECASE)
 MARKS = re.compile(r"^\s*((?:[>|]\s?)+)")
+BULLET = re.compile(r"^[-*•]\s")
 SENTENCE_END = re.compile(r"(?<=[.!?。:;])\s+")
 FEATURES = ("depth", "indent", "region", "opener", "header", "contact", "closing", "since_close", "legal", "paragraph_legal", "device", "senders", "repeated", "overlap", "paragraph_overlap", "mail_overlap", "name", "words", "sentence", "paragraph_words", "after", "postscript", "delimiter", "postal", "cont")
 
@@ -93,16 +101,20 @@ def parse(content: str | None) -> tuple[list[Line], list[tuple[int, int]]]:
             spans.append((len(text), len(text) + len(line.body)))
             text += line.body + " "
         number += 1
-        start = 0
-        for part in SENTENCE_END.split(text.strip()):
-            end = start + len(part)
-            tokens = WORD.findall(part.lower())
+        stops = {m.end() for m in SENTENCE_END.finditer(text)} | {0, len(text)}
+        for line, (a, b) in zip(group, spans):  # a bullet begins a unit of its own, a greeting ends one
+            if BULLET.match(line.body):
+                stops.add(a)
+            if line.body.endswith((",", ":")) and len(WORD.findall(line.body)) <= 5:
+                stops |= {a, b + 1}
+        ordered = sorted(stops)
+        for start, end in zip(ordered[:-1], ordered[1:]):
+            tokens = WORD.findall(text[start:end].lower())
             if len(tokens) >= 3:
                 for line, (a, b) in zip(group, spans):
                     if a < end and b > start:
                         line.sentences.append(len(sentences))
                 sentences.append((_hash(" ".join(tokens)), len(tokens)))
-            start = end + 1
         group = []
 
     for no, raw in enumerate((content or "").split("\n"), 1):
@@ -177,10 +189,10 @@ def describe(content: str | None, sender: str | None, line_info: dict[int, tuple
         is_name = bool(tokens) and (tokens <= names or n_words <= 3 and bool(tokens & names) and not body.endswith((",", ":", "님께,")))
         sentence = body.endswith((".", "!", "?", "…", "。")) or n_words >= 9
         senders, repeated = line_info.get(_hash(body), (1, 0))
-        if opener[i] == 1 and own:
-            region = 1 if marked_after[i] else 2
+        if opener[i] == 1 and own:  # behind a header block nothing is marked any more, whatever is quoted in there
+            region = 1 if marked_after[i] and region != 2 else 2
         elif opener[i] == 2 and own:
-            region = 1 if any(l.depth > 0 or l.indent for l in lines[i + 1 :]) and region == 0 and not HEADER.match(body) else 2
+            region = 2
         if own:
             if closing or delimiter:
                 since = 1
@@ -209,9 +221,12 @@ def rule_label(f: dict[str, float]) -> int:
     if f["legal"] or f["paragraph_legal"] >= 2 or f["paragraph_legal"] and f["senders"] > 3:
         return 0
     if f["region"] == 2:
-        return int(f["mail_overlap"] > 0.1 and f["overlap"] < 0.5 and f["paragraph_overlap"] < 0.5 and f["words"] >= 4 and f["sentence"] and not f["since_close"])
+        whole = f["words"] >= 4 and f["sentence"] or f["paragraph_words"] >= 8
+        return int(f["mail_overlap"] > 0.1 and f["overlap"] < 0.5 and f["paragraph_overlap"] < 0.5 and whole and not f["since_close"] and not f["contact"] > 0.5)
     if f["overlap"] >= 0.5 and f["words"] >= 6 and f["paragraph_overlap"] >= 0.5:
         return 0
+    if f["paragraph_overlap"] >= 0.6 and f["paragraph_words"] >= 8 and (f["overlap"] >= 0.5 or f["paragraph_overlap"] >= 0.7 and f["paragraph_words"] >= 12):
+        return 0
     if f["postscript"]:
         return 1
     if f["closing"]:
@@ -228,17 +243,17 @@ def rule_label(f: dict[str, float]) -> int:
 def _units(batches):
     """Batches (record_id, mail, sender, thread, sent, content) -> units of the lines and sentences of each mail."""
     for b in batches:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(6)]
         for record, mail, sender, thread, sent, content in zip(*(b.column(k).to_pylist() for k in range(6))):
             lines, sentences = parse(content)
-            units = {(0, _hash(l.body)) for l in lines if not l.depth and not l.indent and len(l.body) < 200}
+            units = {(0, _hash(line.body)) for line in lines if not line.depth and not line.indent and len(line.body) < 200}
             if thread is not None and sent is not None:
                 units |= {(1, h) for h, _ in sentences}
             s = _hash(sender or "")
             for kind, h in units:
-                for c, v in zip(out, (record, mail, kind, h, s if kind == 0 else _hash(thread), sent or 0, len(units))):
+                for c, v in zip(out, (record, mail, kind, h, s if kind == 0 else _hash(thread), sent or 0)):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:6], (pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int64()))], names=["record_id", "mail", "kind", "unit", "party", "sent"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int64()))], names=["record_id", "mail", "kind", "unit", "party", "sent"])
 
 
 def mails(docs: DataFrame, headers: DataFrame) -> DataFrame:
@@ -251,7 +266,7 @@ def mails(docs: DataFrame, headers: DataFrame) -> DataFrame:
 def described(docs: DataFrame, headers: DataFrame) -> DataFrame:
     """(record_id, sender, content, lines: array of (unit, senders, repeated), old: array of sentence hashes)."""
     m = mails(docs, headers)
-    units = m.mapInArrow(_units, "record_id long, mail long, kind byte, unit long, party long, sent long")
+    units, _ = written(m.mapInArrow(_units, "record_id long, mail long, kind byte, unit long, party long, sent long"), "units")  # three aggregations read it
     line = units.filter("kind = 0")
     by_sender = line.groupBy("unit", "party").agg(F.min("mail").alias("_a"), F.max("mail").alias("_b"))
     common = by_sender.groupBy("unit").agg(F.count(F.lit(1)).alias("senders")).filter("senders > 1")
@@ -259,7 +274,10 @@ def described(docs: DataFrame, headers: DataFrame) -> DataFrame:
     line_rows = line.select("record_id", "unit", "party").join(common, "unit", "left").join(own, ["unit", "party"], "left").filter("senders IS NOT NULL OR repeated IS NOT NULL")
     line_info = line_rows.groupBy("record_id").agg(F.collect_list(F.struct("unit", F.coalesce("senders", F.lit(1)).cast("int").alias("senders"), F.coalesce("repeated", F.lit(0)).alias("repeated"))).alias("lines"))
     sentence = units.filter("kind = 1").select("record_id", "unit", "party", "sent")
-    first = sentence.groupBy("unit", "party").agg(F.min("sent").alias("_first"), F.max("sent").alias("_last")).filter("_last > _first").drop("_last")
+    per_thread = sentence.groupBy("unit", "party").agg(F.min("sent").alias("_first"), F.max("sent").alias("_last"))
+    threads = sentence.agg(F.approx_count_distinct("party")).first()[0]  # one number
+    phrases = per_thread.groupBy("unit").count().filter(F.col("count") > max(2, COMMON * threads)).select("unit")
+    first = per_thread.filter("_last > _first").drop("_last").join(phrases, "unit", "left_anti")
     old = sentence.join(first, ["unit", "party"]).filter("sent > _first").groupBy("record_id").agg(F.collect_set("unit").alias("old"))
     return m.select("record_id", "sender", "content").join(line_info, "record_id", "left").join(old, "record_id", "left")
 
