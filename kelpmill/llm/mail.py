@@ -139,8 +139,8 @@ def name_parts(header: str | None) -> set[str]:
     return {w for w in WORD.findall(display.lower()) if len(w) > 1}
 
 
-def describe(content: str | None, sender: str | None, line_info: dict[int, tuple[int, int]], old: set[int]) -> tuple[list[Line], np.ndarray]:
-    """Features of every line that is not blank. line_info: by line hash (senders, repeated by the sender); old:
+def describe(content: str | None, sender: str | None, line_info: dict[int, tuple[float, int]], old: set[int]) -> tuple[list[Line], np.ndarray]:
+    """Features of every line that is not blank. line_info: by line hash (share of senders who use it, repeated by this sender); old:
     hashes of sentences that stand in an earlier mail of the thread."""
     lines, sentences = parse(content)
     x = np.zeros((len(lines), len(FEATURES)), np.float32)
@@ -188,7 +188,7 @@ def describe(content: str | None, sender: str | None, line_info: dict[int, tuple
         tokens = {w for w in WORD.findall(body.lower())}
         is_name = bool(tokens) and (tokens <= names or n_words <= 3 and bool(tokens & names) and not body.endswith((",", ":", "님께,")))
         sentence = body.endswith((".", "!", "?", "…", "。")) or n_words >= 9
-        senders, repeated = line_info.get(_hash(body), (1, 0))
+        senders, repeated = line_info.get(_hash(body), (0.0, 0))
         if opener[i] == 1 and own:  # behind a header block nothing is marked any more, whatever is quoted in there
             region = 1 if marked_after[i] and region != 2 else 2
         elif opener[i] == 2 and own:
@@ -204,7 +204,7 @@ def describe(content: str | None, sender: str | None, line_info: dict[int, tuple
         po = old_of[line.paragraph]
         x[i] = (
             line.depth, line.indent, region if own else -1, opener[i], bool(HEADER.match(body)), contact / max(1, len(body)), closing, min(since, 12) if own else 0,
-            len(LEGAL.findall(body)), legal_of[line.paragraph], bool(DEVICE.match(body)), math.log2(max(1, senders)), repeated,
+            len(LEGAL.findall(body)), legal_of[line.paragraph], bool(DEVICE.match(body)), math.log2(1 + 1000 * senders), repeated,
             sum(overlap) / len(overlap) if overlap else (sum(po) / len(po) if po else 0.0), sum(po) / len(po) if po else 0.0, mail_overlap, is_name, min(n_words, 30), sentence,
             min(words_of[line.paragraph], 80), last_paragraph - line.paragraph, bool(POSTSCRIPT.match(body)), delimiter, bool(POSTAL.match(body)) or bool(ROLE.match(body)), previous_open,
         )
@@ -218,7 +218,7 @@ def rule_label(f: dict[str, float]) -> int:
         return 0
     if f["header"] and f["region"] == 2:
         return 0
-    if f["legal"] or f["paragraph_legal"] >= 2 or f["paragraph_legal"] and f["senders"] > 3:
+    if f["legal"] or f["paragraph_legal"] >= 2:
         return 0
     if f["region"] == 2:
         whole = f["words"] >= 4 and f["sentence"] or f["paragraph_words"] >= 8
@@ -264,15 +264,16 @@ def mails(docs: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame, headers: DataFrame) -> DataFrame:
-    """(record_id, sender, content, lines: array of (unit, senders, repeated), old: array of sentence hashes)."""
+    """(record_id, sender, content, lines: array of (unit, share of senders, repeated), old: array of sentence hashes)."""
     m = mails(docs, headers)
     units, _ = written(m.mapInArrow(_units, "record_id long, mail long, kind byte, unit long, party long, sent long"), "units")  # three aggregations read it
     line = units.filter("kind = 0")
     by_sender = line.groupBy("unit", "party").agg(F.min("mail").alias("_a"), F.max("mail").alias("_b"))
-    common = by_sender.groupBy("unit").agg(F.count(F.lit(1)).alias("senders")).filter("senders > 1")
+    everybody = max(1, line.agg(F.approx_count_distinct("party")).first()[0])  # one number; shares are alike at every size
+    common = by_sender.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("unit", (F.col("_n") / everybody).alias("senders"))
     own = by_sender.filter("_a <> _b").select("unit", "party", F.lit(1).alias("repeated"))
     line_rows = line.select("record_id", "unit", "party").join(common, "unit", "left").join(own, ["unit", "party"], "left").filter("senders IS NOT NULL OR repeated IS NOT NULL")
-    line_info = line_rows.groupBy("record_id").agg(F.collect_list(F.struct("unit", F.coalesce("senders", F.lit(1)).cast("int").alias("senders"), F.coalesce("repeated", F.lit(0)).alias("repeated"))).alias("lines"))
+    line_info = line_rows.groupBy("record_id").agg(F.collect_list(F.struct("unit", F.coalesce("senders", F.lit(0.0)).alias("senders"), F.coalesce("repeated", F.lit(0)).alias("repeated"))).alias("lines"))
     sentence = units.filter("kind = 1").select("record_id", "unit", "party", "sent")
     per_thread = sentence.groupBy("unit", "party").agg(F.min("sent").alias("_first"), F.max("sent").alias("_last"))
     threads = sentence.agg(F.approx_count_distinct("party")).first()[0]  # one number
