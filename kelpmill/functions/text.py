@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORDS = r"([\p{L}\p{N}]+)"
+SPLIT_SEED = "sbfeedback:v1:"  # fixed value: splits made before must stay the same
 
 
 def tokens(text: Column) -> Column:
@@ -58,7 +59,7 @@ def normalized_query(query: Column) -> Column:
     return F.lower(F.trim(query))
 
 
-def split_of(query: Column, seed: str = "sbfeedback:v1:") -> Column:
+def split_of(query: Column, seed: str = SPLIT_SEED) -> Column:
     """train or holdout, by the first 32 bits of md5."""
     bucket = F.conv(F.substring(F.md5(F.concat(F.lit(seed), normalized_query(query))), 1, 8), 16, 10).cast("long") % 100
     return F.when(bucket < 70, "train").otherwise("holdout")
