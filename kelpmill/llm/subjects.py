@@ -97,7 +97,7 @@ def labelled(labels: DataFrame, areas: DataFrame) -> DataFrame:
     """(doc_id, labels): clean labels of each labelled document, '=none' for none."""
     known = areas.select(F.lower(F.trim("subject")).alias("subject")).distinct()
     clean = labels.select("doc_id", F.lower(F.trim("subject_label")).alias("subject")).filter("doc_id IS NOT NULL AND subject IS NOT NULL")
-    kept = clean.join(F.broadcast(known), "subject", "left_semi").unionByName(clean.filter("subject = 'none'"))
+    kept = clean.join(known, "subject", "left_semi").unionByName(clean.filter("subject = 'none'"))
     return kept.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("="), "subject"))).alias("labels"))
 
 
@@ -116,7 +116,7 @@ def rules(docs: DataFrame, labels: DataFrame, areas: DataFrame, least_docs: int
     calibrated = (F.col("n_label") + F.lit(prior) * F.col("base")) / (F.col("n") + F.lit(prior))
     # no rule whose confidence, given its support, can't be that of a word of one subject
     pure = F.col("n_label") / F.col("n") + 1.3 * F.sqrt(F.lit(0.1) / F.col("n")) >= PURE
-    single = of_word.join(of_pair, "word").join(F.broadcast(base), "label").withColumn("confidence", calibrated).filter("label <> '=none'")
+    single = of_word.join(of_pair, "word").join(base, "label").withColumn("confidence", calibrated).filter("label <> '=none'")
     single, _ = written(single.select("word", "label", "confidence", "n", "n_label", "base"), "words")
     telling = single.filter((F.col("confidence") >= hint) & (F.col("confidence") >= 2 * F.col("base"))).select("word").distinct()
     kept = said.select("doc_id", "sentence", "labels", F.explode("items").alias("word")).join(F.broadcast(telling) if telling.count() < 200_000 else telling, "word")
@@ -127,7 +127,7 @@ def rules(docs: DataFrame, labels: DataFrame, areas: DataFrame, least_docs: int
     split = frequent.select(F.filter("items", lambda x: x.startswith("=")).alias("heads"), F.array_sort(F.filter("items", lambda x: ~x.startswith("="))).alias("words"), "freq").filter((F.size("words") > 1) & (F.size("words") <= longest) & (F.size("heads") <= 1))
     together = split.filter(F.size("heads") == 1).select("words", F.col("heads")[0].alias("label"), F.col("freq").alias("n_label"))
     alone = split.filter(F.size("heads") == 0).select("words", F.col("freq").alias("n"))
-    several = together.join(alone, "words").join(F.broadcast(base), "label").withColumn("confidence", calibrated).filter("label <> '=none'").filter(pure).select("words", "label", "confidence", F.col("n").cast("long").alias("support"))
+    several = together.join(alone, "words").join(base, "label").withColumn("confidence", calibrated).filter("label <> '=none'").filter(pure).select("words", "label", "confidence", F.col("n").cast("long").alias("support"))
     parts = several.select("words", "label", "confidence", "support", F.explode("words").alias("word")).join(single.filter(pure).select("word", "label", F.col("confidence").alias("of_part")), ["word", "label"], "left")
     lean = parts.groupBy("words", "label").agg(F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.max(F.coalesce("of_part", F.lit(0.0))).alias("of_part")).filter("confidence > of_part + 0.02").drop("of_part")
     one = single.filter(pure).select(F.array("word").alias("words"), "label", "confidence", F.col("n").alias("support"))
