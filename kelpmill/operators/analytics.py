@@ -56,7 +56,7 @@ def collection_status(log: DataFrame, now: Column) -> DataFrame:
     """Last success, runs, failures since it (all of them where there is none), seconds since it."""
     ok = F.col("error_text").isNull() & F.col("finished_at").isNotNull()
     per = log.groupBy("source_type").agg(F.max(F.when(ok, F.col("finished_at"))).alias("last_success"), F.count(F.lit(1)).alias("runs"))
-    failed = log.filter("error_text IS NOT NULL").join(F.broadcast(per.select("source_type", "last_success")), "source_type")
+    failed = log.filter("error_text IS NOT NULL").join(per.select("source_type", "last_success"), "source_type")
     recent = failed.filter(F.col("last_success").isNull() | (F.col("started_at") > F.col("last_success"))).groupBy("source_type").agg(F.count(F.lit(1)).alias("failures"))
     seconds = (F.unix_timestamp(now) - F.unix_timestamp("last_success")).alias("stale_seconds")
     return per.join(recent, "source_type", "left").select("source_type", "last_success", "runs", F.coalesce("failures", F.lit(0)).alias("failures"), seconds)

@@ -80,7 +80,7 @@ def coordinate_search(score: Callable[[dict], float], grid: dict[str, list[float
 
 def reweighted(lane_rows: DataFrame, weights: DataFrame) -> DataFrame:
     """All candidates of a tuning sweep at once. lane_rows: query, id, lane, rank; weights: candidate, lane, weight, k."""
-    return lane_rows.join(F.broadcast(weights), "lane").groupBy("candidate", "query", "id").agg(F.round(F.sum(F.col("weight") / (F.col("k") + F.col("rank"))), 9).alias("score"))
+    return lane_rows.join(weights, "lane").groupBy("candidate", "query", "id").agg(F.round(F.sum(F.col("weight") / (F.col("k") + F.col("rank"))), 9).alias("score"))
 
 
 def reindex_advice(last: datetime | None, now: datetime, docs_then: int, docs_now: int, before: float, after: float) -> list[str]:

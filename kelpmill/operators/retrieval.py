@@ -220,7 +220,7 @@ def merged(primary: DataFrame, secondary: DataFrame, limit: int) -> DataFrame:
 
 def with_entities(rows: DataFrame, mentions: DataFrame) -> DataFrame:
     """Entities of each document, by type and name, as one text."""
-    per = mentions.join(F.broadcast(rows.select("id")), "id").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("type", "name"))), lambda e: F.concat(e["type"], F.lit(":"), e["name"])), ",").alias("entities"))
+    per = mentions.join(rows.select("id"), "id").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("type", "name"))), lambda e: F.concat(e["type"], F.lit(":"), e["name"])), ",").alias("entities"))
     return rows.join(per, "id", "left").withColumn("entities", F.coalesce("entities", F.lit("")))
 
 

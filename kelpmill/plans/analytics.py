@@ -96,7 +96,7 @@ query("t11_last_finished", "SELECT batch_id FROM collection_log WHERE error_text
 
 # joins
 query("j03_chunks_active", "SELECT source_type, count(*) AS n FROM (SELECT id, unnest(string_split(content, chr(10) || chr(10))) AS chunk FROM brain_documents WHERE content IS NOT NULL) c JOIN brain_documents b USING (id) WHERE status = 'active' AND chunk <> '' GROUP BY 1")(lambda s, d: docs(s, d).filter("content IS NOT NULL").select("id", F.explode(F.split("content", "\n\n")).alias("chunk")).filter("chunk <> ''").join(docs(s, d).filter("status = 'active'").select("id", "source_type"), "id").groupBy("source_type").agg(F.count(F.lit(1)).alias("n")))
-query("j04_three_way", "SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")(lambda s, d: orders(s, d).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n")))
+query("j04_three_way", "SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")(lambda s, d: orders(s, d).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n")))
 ACTIONS = "WITH a AS (SELECT o_orderkey AS id, o_orderpriority AS kind, o_custkey AS who FROM orders), st AS (SELECT o_orderkey AS id, o_orderstatus AS state FROM orders WHERE o_orderkey % 4 <> 0) "
 query("j05_actions_left", ACTIONS + "SELECT a.id, kind, coalesce(state, 'open') AS state, c_name AS counterpart FROM a LEFT JOIN st USING (id) LEFT JOIN customer ON who = c_custkey AND c_acctbal > 0")(lambda s, d: _actions(s, d))
 query("j07_left_counts", f"SELECT source_type, n, coalesce(dead + open, 0) AS failed FROM (SELECT source_type, count(*) AS n FROM brain_documents GROUP BY 1) LEFT JOIN ({FAILURES}) USING (source_type)")(lambda s, d: docs(s, d).groupBy("source_type").agg(F.count(F.lit(1)).alias("n")).join(A.failure_counts(log(s, d)), "source_type", "left").select("source_type", "n", F.coalesce(F.col("dead") + F.col("open"), F.lit(0)).alias("failed")))
