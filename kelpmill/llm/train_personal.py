@@ -117,19 +117,7 @@ def main(sf_dir: str, minutes: float = 3.0, go_on: float = 0.0) -> None:
                 here.add(w)
         seen.update(here)
     common = frozenset(w for w, n in seen.items() if n >= 3 and w not in inside)
-    good_beside, bad_beside = [Counter(), Counter()], [set(), set()]
-    for t, found in zip(texts, spans):
-        ws = [(m.start(), m.end(), m.group()) for m in P.WORD.finditer(t)]
-        for i, (s, e, w) in enumerate(ws):
-            if w.lower() in common or w == w.lower() and not "가" <= w[0] <= "힣":
-                continue
-            hit = any(a < e and s < b for a, b, _ in found)
-            for side, near in ((0, ws[i - 1] if i and t[ws[i - 1][1] : s] == " " else None), (1, ws[i + 1] if i + 1 < len(ws) and t[e : ws[i + 1][0]] == " " else None)):
-                if near and (bad_beside[side].add(near[2].lower()) if hit else not hit):
-                    good_beside[side][near[2].lower()] += 1
-    before, after = (frozenset(w for w, n in good_beside[k].items() if n >= 40 and w not in bad_beside[k]) for k in (0, 1))
-    print("beside:", sorted(before)[:40], sorted(after)[:40])
-    screen = P.Screen(common, before, after)
+    screen = P.Screen(common)
     print(len(texts), "texts,", sum(map(len, spans)), "spans,", len(common), "common words; names", len(names.given), len(names.sur), len(names.full), flush=True)
     held = len(texts) // 10
     examples = []
@@ -167,8 +155,7 @@ def main(sf_dir: str, minutes: float = 3.0, go_on: float = 0.0) -> None:
             step += 1
         if step % 200 == 0:
             print(step, round(time.time() - began), "s, loss", round(float(np.mean(losses[-200:])), 3), flush=True)
-    listed = {k: np.frombuffer("\n".join(sorted(v)).encode(), np.uint8) for k, v in (("common", common), ("before", before), ("after", after))}
-    np.savez_compressed(P.MODEL, **listed, **{k: v.astype(np.float16) for k, v in p.items()})
+    np.savez_compressed(P.MODEL, common=np.frombuffer("\n".join(sorted(common)).encode(), np.uint8), **{k: v.astype(np.float16) for k, v in p.items()})
     p, screen = P.load()
     good = Counter()
     for found, want in zip(P.tag_batch(p, texts[:held], screen), spans[:held]):

@@ -146,6 +146,13 @@ def test_personal_data(spark):
     assert personal.find(df.limit(0), "record_id", "body").count() == 0
 
 
+def test_no_neighbour_hides_an_unknown_word():
+    screen = personal.load()[1]
+    for text in ("rescheduled the\n\n> > > Corwin,", "order? The\n\n>\n>\n> Nolan,", "as Corwin", "from Nolan Sorduvar", "Corwin second"):
+        at = next(text.index(w) for w in ("Corwin", "Nolan") if w in text)
+        assert any(s <= at < e for s, e in personal.screened(text, screen)), text
+
+
 def test_windows_cover_and_reconcile():
     screen = personal.Screen(frozenset(["the"]))
     text = "the " * 30 + "Xyz " * 100 + "the " * 30
