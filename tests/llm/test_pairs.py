@@ -144,3 +144,31 @@ def test_long_documents_of_one_word(spark):
 def test_words_are_letters_and_digits():
     assert words("Ab-1_c é 가나! ２") == ["ab", "1", "c", "é", "가나", "２"]
     assert words(None) == [] and F is not None
+
+
+def met(depth, tables, probes=3, similarity=0.81, n=1500):
+    """Share of random pairs of a similarity that meet in a cell."""
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal((2, n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = similarity * a + np.sqrt(1 - similarity**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = ([c[:, t].tolist() for c in [_cells(v, depth, tables, probes)] for t in range(tables)] for v in (a, b))
+    hit = np.zeros(n, bool)
+    for p, q in zip(x, y):
+        hit |= np.array([i[0] in j or j[0] in i for i, j in zip(p, q)])
+    return hit.mean()
+
+
+def _cells(v, depth, tables, probes):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(v))), pa.array(list(v), pa.list_(pa.float64()))], names=["vid", "v"])
+    out = next(vectors._hashed(64, tables, depth, probes)([batch]))
+    return np.array(out.column("cells").to_pylist()).reshape(len(v), tables, probes)
+
+
+def test_pairs_meet_with_the_tables_by_default():
+    import inspect
+
+    assert met(2, inspect.signature(vectors.similar).parameters["tables"].default) >= 0.95
