@@ -172,3 +172,11 @@ def test_pairs_meet_with_the_tables_by_default():
     import inspect
 
     assert met(2, inspect.signature(vectors.similar).parameters["tables"].default) >= 0.95
+
+
+def test_as_many_pairs_meet_in_deeper_cells():
+    least = met(2, 12)
+    for n, depth in ((20_000_000, 3), (1_000_000_000, 4)):
+        at, tables = vectors.planned(n, 64, 12, 6)
+        assert at == depth and met(depth, tables) >= least
+    assert vectors.planned(5_000, 64, 12, 6) == (1, 12) and vectors.planned(1_000_000, 64, 12, 6) == (2, 12)
