@@ -34,6 +34,7 @@ query("s26_ingest_split", "SELECT CASE WHEN address IS NULL OR trim(address) = '
 query("s27_upload_id", "SELECT record_id, 'upload:' || substr(sha256(title || content), 1, 12) AS source_id FROM brain_documents WHERE title IS NOT NULL AND content IS NOT NULL")(lambda s, d: docs(s, d).filter("title IS NOT NULL AND content IS NOT NULL").select("record_id", S.upload_id(col("title"), F.encode("content", "utf-8")).alias("source_id")))
 query("s14_gmail_documents", "SELECT 'gmail:' || message_id AS source_id, subject AS title, make_timestamp(internal_date::BIGINT * 1000) AS occurred_at FROM gmail_messages")(lambda s, d: _gmail(s, d))
 query("s06_html_text", "SELECT record_id, md5(coalesce(array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), '|'), '')) AS h FROM brain_documents WHERE source_type = 'note' AND NOT regexp_matches(content, '[<>&\\r]')")(lambda s, d: _html(s, d))
+query("s06_html_pages")(lambda s, d: _html_pages(s, d))
 query("s30_feed_dedup", "SELECT DISTINCT message_id AS id FROM gmail_messages g WHERE NOT EXISTS (SELECT 1 FROM gmail_messages o WHERE list_contains(o.label_ids, 'SENT') AND o.message_id = g.message_id)")(lambda s, d: _feed(s, d))
 query("s35_point_lookup", "SELECT id, title FROM brain_documents WHERE record_id = (SELECT min(record_id) FROM brain_documents)")(lambda s, d: docs(s, d).join(F.broadcast(docs(s, d).agg(F.min("record_id").alias("record_id"))), "record_id").select("id", "title"))
 query("l01_byte_cut", "SELECT record_id, strlen(content) > 2000 AS cut FROM brain_documents WHERE content IS NOT NULL")(lambda s, d: docs(s, d).filter("content IS NOT NULL").select("record_id", N.cut_bytes(col("content"), 2000).endswith("...").alias("cut"), col("content").endswith("...").alias("_e"), (F.octet_length("content") > 2000).alias("_l")).select("record_id", (col("cut") & (~col("_e") | col("_l"))).alias("cut")))
@@ -51,13 +52,22 @@ def _gmail(s, d):
     return M.map_gmail(raw).select("source_id", "title", col("occurred_at").cast("timestamp_ntz").alias("occurred_at"))
 
 
-def _html(s, d):
-    rows = docs(s, d).filter("source_type = 'note'").filter(~col("content").rlike("[<>&\\r]"))
-    lines = F.array_join(F.transform(F.split("content", "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+def _page_hashes(rows, content):
+    lines = F.array_join(F.transform(F.split(content, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
     page = F.encode(F.concat(F.lit("<html><style>p{}</style><body>"), lines, F.lit("<script>var a='<p>';</script></body></html>")), "utf-8")
     return rows.select("record_id", F.md5(F.replace(extracted(page, F.lit("page.html")), F.lit("\n"), F.lit("|"))).alias("h"))
 
 
+def _html(s, d):
+    return _page_hashes(docs(s, d).filter("source_type = 'note'").filter(~col("content").rlike("[<>&\\r]")), col("content"))
+
+
+def _html_pages(s, d):
+    """All documents as pages, markup and entities escaped; SQL cannot follow the parser there."""
+    escaped = F.replace(F.replace(F.replace(col("content"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return _page_hashes(docs(s, d), escaped)
+
+
 def _feed(s, d):
     g = gmail(s, d)
     url = lambda df: df.select("message_id", F.concat(F.lit("https://www.mail.test/"), "message_id", F.lit("/?utm_source=x#top")).alias("url"))

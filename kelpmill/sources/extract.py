@@ -38,7 +38,7 @@ class _Text(HTMLParser):
 def html_text(data: bytes) -> str:
     """Trimmed text nodes, one a line, without scripts and styles."""
     p = _Text()
-    p.feed(data.decode("utf-8", "replace"))
+    p.feed(re.sub("\r\n?", "\n", data.decode("utf-8", "replace")))  # as HTML parsers read line ends
     p.close()
     return "\n".join(p.parts)
 

@@ -116,3 +116,15 @@ def test_enrichment(spark):
     assert N.packed_batches(["aa", "bb", "c" * 9], 4) == [["aa", "bb"], ["c" * 9]]
     assert N.served(a.withColumn("text", F.lit("x")), lambda t: [x.upper() for x in t], "text").first().answer == "X"
     assert G.admitted(spark.createDataFrame([("a", 5), ("b", 15), ("c", 1)], "id string, date_ms long"), 10, 3, spark.createDataFrame([("z",)], "id string")).count() == 2
+
+
+def test_html_of_all_documents(spark, tmp_path):
+    import hashlib
+
+    from kelpmill.plans import sources
+
+    texts = {1: ("a & b <c>\r\nd", "a & b <c>|d"), 2: ("x &amp; y\rz", "x &amp; y|z"), 3: ("<script>k</script>\n\n 1 > 0", "<script>k</script>|1 > 0"), 4: (None, None), 5: ("", "")}
+    rows = [(i, "gmail" if i % 2 else "note", t) for i, (t, _) in texts.items()]
+    spark.createDataFrame(rows, "record_id long, source_type string, content string").write.parquet(str(tmp_path / "brain_documents.parquet"))
+    got = {r.record_id: r.h for r in sources.QUERIES["s06_html_pages"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if w is None else hashlib.md5(w.encode()).hexdigest() for i, (_, w) in texts.items()}
