@@ -246,7 +246,7 @@ def _units(batches):
         out: list[list] = [[] for _ in range(6)]
         for record, mail, sender, thread, sent, content in zip(*(b.column(k).to_pylist() for k in range(6))):
             lines, sentences = parse(content)
-            units = {(0, _hash(line.body)) for line in lines if not line.depth and not line.indent and len(line.body) < 200}
+            units = {(0, _hash(line.body)) for line in lines if not line.depth and not line.indent}
             if thread is not None and sent is not None:
                 units |= {(1, h) for h, _ in sentences}
             s = _hash(sender or "")

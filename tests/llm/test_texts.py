@@ -93,6 +93,15 @@ def test_new_lines_of_mails(spark):
     assert mail.new_lines(docs.limit(0), heads).count() == 0
 
 
+def test_long_lines_are_units_of_their_sender():
+    import pyarrow as pa
+
+    long = "This notice is for the named reader only " * 6
+    batch = pa.RecordBatch.from_pydict({"record_id": [1], "mail": [1], "sender": ["a"], "thread": ["t"], "sent": [1], "content": [f"Hello there\n\n{long}"]})
+    out = next(mail._units([batch])).to_pydict()
+    assert out["kind"].count(0) == len([line for line in mail.parse(f"Hello there\n\n{long}")[0] if line.body])
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))
