@@ -9,28 +9,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK = "[REDACTED]"
-#: Number shapes of the country and words beside one-time codes.
+#: Number shapes of the country, accounts (never dates) and words beside one-time codes.
 AREA = r"(?:1[016789]|2|[3-6][1-5])"
-GAP = r"[-. ]?"
-RESIDENT = re.compile(r"(?<!\w)(\d{2})(\d{2})(\d{2})-([1-8])\d{6}(?!\w)", re.ASCII)
-PHONES = re.compile(rf"(?:\+82{GAP}(?:\(0\))?{GAP}{AREA}|(?<!\w)(?:0082{GAP}(?:\(0\))?{GAP}{AREA}|82{GAP}{AREA}|0{AREA})){GAP}\d{{3,4}}{GAP}\d{{4}}(?!\w)", re.ASCII)
-ACCOUNT = re.compile(r"(?<![\w-])\d{2,6}-\d{2,6}-\d{2,8}(?:-\d{1,4})?(?![\w-])", re.ASCII)
-KEYWORD = re.compile("인증|비밀번호|승인번호|otp|verification|passcode|one-time", re.IGNORECASE)
-CODE = re.compile(r"(?<![0-9A-Za-z_])\d{4,8}(?![0-9A-Za-z_])")
-REACH = 40  # bytes between a code and its keyword
+REST = r"[-. ]?\d{3,4}[-. ]?\d{4}\b"
+RESIDENT = re.compile(r"\b\d{2}(\d{2})(\d{2})-(\d)\d{6}\b", re.ASCII)
+NUMBERS = tuple(
+    re.compile(front + REST, re.ASCII)
+    for front in (r"\b(?:01[016789]|02|0[3-6][1-5])", r"\+82[-. ]?\(?0?\)?[-. ]?" + AREA, r"\b0082[-. ]?\(?0?\)?[-. ]?" + AREA, r"\b82[-. ]?" + AREA)
+)
+ACCOUNT = re.compile(r"\b\d{2,3}-\d{2,6}-\d{4,8}\b", re.ASCII)
+KEYWORD = re.compile("인증번호|본인.{0,2}확인|verification|타인에게|otp", re.IGNORECASE)
+CODE = re.compile(r"\b\d{4,8}\b", re.ASCII)
+REACH = 40  # bytes on either side of a code that are searched for a keyword
+
+
+def _resident(m: re.Match) -> str:
+    """A resident number begins with a date and tells century and sex by 1 to 8."""
+    return MARK if 1 <= int(m[1]) <= 12 and 1 <= int(m[2]) <= 31 and m[3] in "12345678" else m[0]
 
 
 def redact(text: str | None) -> str | None:
+    """Resident numbers, telephone numbers (national, then with country code), accounts, then codes near a keyword."""
     if not text:
         return text
-    plausible = lambda m: MARK if 1 <= int(m[2]) <= 12 and 1 <= int(m[3]) <= 31 else m[0]
-    text = ACCOUNT.sub(MARK, PHONES.sub(MARK, RESIDENT.sub(plausible, text)))
-    near = [(m.start(), m.end()) for m in KEYWORD.finditer(text)]
-    if not near:
+    text = RESIDENT.sub(_resident, text)
+    for shape in (*NUMBERS, ACCOUNT):
+        text = shape.sub(MARK, text)
+    if not KEYWORD.search(text):
         return text
-    size = lambda a, b: len(text[a:b].encode())
-    close = lambda m: any((size(e, m.start()) if e <= m.start() else size(m.end(), s)) <= REACH for s, e in near)
-    return CODE.sub(lambda m: MARK if close(m) else m[0], text)
+    data, out, at, place, passed = text.encode("utf-8", "surrogatepass"), [], 0, 0, 0
+    for m in CODE.finditer(text):
+        place += len(text[passed : m.start()].encode("utf-8", "surrogatepass"))
+        passed = m.start()
+        around = data[max(0, place - REACH) : place + len(m[0]) + REACH].decode("utf-8", "replace")
+        if KEYWORD.search(around):
+            out += [text[at : m.start()], MARK]
+            at = m.end()
+    return "".join(out) + text[at:]
 
 
 def _redacted(texts: pd.Series) -> pd.Series:

@@ -37,16 +37,17 @@ def matches_all(title: Column, content: Column, query: list[str]) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters of the text between blanks."""
-    padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
+    chars = F.split(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), "")  # read by place: linear in the text
+    return F.transform(F.array(chars), lambda c: F.array_distinct(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda x, y: F.concat(x, y))))[0]
 
 
 def bigram_similarity(text: Column, query: str) -> Column:
     """shared distinct bigrams over those of the larger side."""
     padded = f" {query} "
     mine = sorted({padded[i : i + 2] for i in range(len(padded) - 1)})
-    theirs = bigrams(text)
-    return F.round(F.size(F.array_intersect(theirs, F.array(*map(F.lit, mine)))) / F.greatest(F.size(theirs), F.lit(len(mine))), 6)
+    whole = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
+    shared = sum((whole.contains(g).cast("int") for g in mine), F.lit(0))
+    return F.round(shared / F.greatest(F.size(bigrams(text)), F.lit(len(mine))), 6)
 
 
 def normalized_name(name: Column) -> Column:
@@ -96,36 +97,74 @@ def collapsed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^ | $", "")
 
 
+def clamped(text: Column, limit: int | Column) -> Column:
+    """at most limit characters; an ellipsis stands for the rest, blanks before it fall away."""
+    n = F.lit(limit) if isinstance(limit, int) else limit
+    cut = F.concat(F.rtrim(F.substring(text, F.lit(1), F.greatest(n - 1, F.lit(0)))), F.lit("…"))
+    return F.when(n <= 0, "").when(F.length(text) <= n, text).otherwise(cut)
+
+
 def shortened(text: Column, limit: int) -> Column:
-    """at most limit characters, an ellipsis in place of the rest."""
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
+    """the first limit characters, an ellipsis behind them if there are more."""
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("…"))).otherwise(text)
 
 
 def normalized_url(url: Column) -> Column:
-    """lower case, without scheme, www, fragment, tracking parameters and a final slash."""
-    bare = F.regexp_replace(F.lower(F.trim(url)), r"^https?://(www\.)?", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"#.*$", ""), r"[?&]utm_[^&]*", ""), r"/+$", "")
+    """lower case, without the scheme and one final slash."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(url)), "/$", ""), "^(https://)?(http://)?", "")
+
+
+def byte_prefix(text: Column, most: int | Column) -> Column:
+    """The first bytes of a text, a broken last character left out; no character is changed."""
+    n = F.lit(most) if isinstance(most, int) else most
+    data = F.encode(text, "utf-8")
+    keep = lambda k: F.substring(data, F.lit(1), k)
+    whole = F.lit(None).cast("string")
+    for back in (3, 2, 1, 0):  # a character has at most four bytes
+        whole = F.when(F.is_valid_utf8(keep(n - back)), keep(n - back).cast("string")).otherwise(whole)
+    return F.when(F.octet_length(text) <= n, text).otherwise(whole)
+
+
+def truncated(text: Column, most: int) -> Column:
+    """the first bytes of a text and a note that it was cut."""
+    return F.when(F.octet_length(text) > most, F.concat(byte_prefix(text, most), F.lit("\n[content truncated]"))).otherwise(text)
+
+
+#: Kinds of actions and their names in counts.
+ACTION_KINDS = {"awaiting_my_reply": "응답 대기", "my_commitment": "내 약속", "their_commitment": "상대 약속", "scheduled": "예정"}
 
 
 def action_summary(text: Column, kind: Column) -> Column:
-    """normalised summary of an action; blank for awaiting_reply."""
-    plain = F.regexp_replace(F.lower(collapsed(text)), r"[\p{P}\p{S}]", "")
-    return F.when(kind == "awaiting_reply", "").otherwise(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(plain, "utf-8"), 1, 80).cast("string")), "\uFFFD+$", ""))
+    """normalised summary of an action, at most 80 bytes; blank for awaiting_my_reply."""
+    plain = F.trim(F.regexp_replace(F.lower(collapsed(text)), r"""[.,!?;:'"()\[\]{}]""", ""))
+    return F.when(kind == "awaiting_my_reply", "").otherwise(byte_prefix(plain, 80))
 
 
-def identity_key(*parts: Column) -> Column:
-    """F12."""
-    return F.concat(F.lit("action:"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))
+def identity_key(thread: Column, kind: Column, counterpart: Column, summary: Column) -> Column:
+    """the same for every extraction of one action."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(F.lit("action:"), short_hash(F.concat_ws("|", text(thread), text(kind), text(counterpart), action_summary(text(summary), kind))))
+
+
+#: What makes a message one of authentication, and a run of digits a code.
+CODE = "(?<![0-9A-Za-z_])[0-9]{4,8}(?![0-9A-Za-z_])"
+AUTH = "(?i)인증번호|본인.{0,2}확인|verification|타인에게|otp|" + CODE
+REDACTED = "[REDACTED]"
 
 
 def auth_like(body: Column) -> Column:
-    """messages with one-time codes."""
-    return F.coalesce(body.rlike(r"(?i)인증번호|verification code|one-time|otp(?![a-z])|passcode"), F.lit(False))
+    """messages that look like authentication, every run of four to eight digits among them."""
+    return F.coalesce(body.rlike(AUTH), F.lit(False))
 
 
 def codes_hidden(body: Column) -> Column:
-    """runs of four to eight digits replaced, in messages with one-time codes."""
-    return F.when(auth_like(body), F.regexp_replace(body, r"(?<![0-9A-Za-z_])[0-9]{4,8}(?![0-9A-Za-z_])", "[CODE]")).otherwise(body)
+    """runs of four to eight digits replaced."""
+    return F.when(auth_like(body), F.regexp_replace(body, CODE, REDACTED)).otherwise(body)
+
+
+def outbound(source: Column, way: Column) -> Column:
+    """F16: sent or drafted messages and outgoing calls; mail has no direction."""
+    return F.coalesce(F.when(source == "sms", way.isin("sent", "draft")).when(source.isin("call-log", "call-transcript"), way == "outgoing"), F.lit(False))
 
 
 def direction(msg_type: Column) -> Column:
@@ -163,7 +202,61 @@ def backoff_minutes(attempts: Column) -> Column:
 
 
 def dead_letter(attempts: Column) -> Column:
-    return attempts + 1 >= 10
+    """the tenth failure is the last; attempts counts the failure at hand."""
+    return attempts >= 10
+
+
+def human_size(size: Column) -> Column:
+    """in units of 1024 bytes."""
+    of = lambda fmt, unit: F.format_string(fmt, size.cast("double") / F.lit(float(unit)))
+    return F.when(size >= 1 << 30, of("%.1f GB", 1 << 30)).when(size >= 1 << 20, of("%.1f MB", 1 << 20)).when(size >= 1 << 10, of("%.0f KB", 1 << 10)).otherwise(F.format_string("%d B", size.cast("long")))
+
+
+def safe_file_name(name: Column) -> Column:
+    """runs of anything but ASCII letters, digits and hyphens become one underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9-]+", "_"), "^_+|_+$", "")
+
+
+def safe_number(number: Column) -> Column:
+    """digits, plus and hyphens only; without any, 'unknown'."""
+    return F.coalesce(F.nullif(F.regexp_replace(number, "[^0-9+-]", ""), F.lit("")), F.lit("unknown"))
+
+
+SNOWFLAKE_EPOCH_MS = 1_420_070_400_000  # fixed value
+
+
+def snowflake(ts: Column) -> Column:
+    """the least message id of a time; blank for no time and times up to the epoch."""
+    ms = F.unix_millis(ts) - F.lit(SNOWFLAKE_EPOCH_MS)
+    return F.when(ms > 0, F.shiftleft(ms, 22).cast("string")).otherwise("")
+
+
+def without_mention(text: Column, user: str) -> Column:
+    """both forms of a mention of the user removed."""
+    return F.replace(F.replace(text, F.lit(f"<@{user}>"), F.lit("")), F.lit(f"<@!{user}>"), F.lit(""))
+
+
+#: Hosts from which attachments of a source may be fetched again.
+FETCH_HOSTS = {"discord": ("cdn.discordapp.com", "media.discordapp.net", "attachments.discordapp.net"), "slack": ("files.slack.com", "slack-files.com")}
+
+
+def fetch_allowed(url: Column, source: Column) -> Column:
+    """exact host of the source; unknown sources and unreadable addresses are refused."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    out = F.lit(False)
+    for s, hosts in FETCH_HOSTS.items():
+        out = out | ((F.lower(source) == s) & host.isin(*hosts))
+    return F.coalesce(out, F.lit(False))
+
+
+WEEKDAYS = ("일", "월", "화", "수", "목", "금", "토")  # fixed values, Sunday first
+
+
+def korean_time(ts: Column, zone: str = "Asia/Seoul") -> Column:
+    """local time with its weekday, or a fixed label for none."""
+    local = F.from_utc_timestamp(ts, zone)
+    day = F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.dayofweek(local))
+    return F.when(ts.isNull(), "시각 정보 없음").otherwise(F.concat(F.date_format(local, "yyyy-MM-dd("), day, F.date_format(local, ") HH:mm")))
 
 
 def json_text(column: Column, path: str) -> Column:

@@ -106,21 +106,9 @@ def rolling_latency(rows: DataFrame, key: str, order: list[str], value: str, n:
     return last.groupBy(key).agg(s.alias("s")).select(key, at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
-def thread_key() -> Column:
-    """The thread of a message; null parts make a null key."""
-    return F.when(F.col("source_type") == "gmail", F.concat(F.lit("gmail:"), X.json_text(F.col("metadata"), "thread_id"))).when(F.col("source_type").isin("sms", "call-log"), F.concat(F.col("source_type"), F.lit(":"), F.coalesce(X.json_text(F.col("metadata"), "contact"), X.json_text(F.col("metadata"), "address")))).otherwise(F.col("source_id"))
-
-
-def latest_per_thread(docs: DataFrame, since: Column) -> DataFrame:
-    """The newest message of each thread since a time, one-time codes aside."""
-    rows = docs.filter(F.col("source_type").isin("gmail", "sms", "call-log") & (F.col("status") == "active") & (F.col("occurred_at") >= since) & ~((F.col("source_type") == "sms") & X.auth_like(F.col("content")))).withColumn("thread", thread_key())
-    newest = F.struct("occurred_at", "record_id")  # one aggregation, no window over hot threads
-    return rows.groupBy("source_type", "thread").agg(F.max_by("record_id", newest).alias("record_id"), F.max("occurred_at").alias("occurred_at"))
-
-
 def rekey_winners(sms: DataFrame) -> DataFrame:
-    """Of rows with one (date, number hash, type) the latest received wins."""
-    key = X.short_hash(F.regexp_replace("address", "[^0-9A-Za-z+]", ""))
+    """Of rows with one (date, address hash, type) the latest received wins."""
+    key = X.short_hash(F.col("address"))
     w = Window.partitionBy("date_ms", "address_hash", "msg_type").orderBy(F.desc("received_at"), F.desc("record_id"))
     return sms.withColumn("address_hash", key).withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("record_id", "date_ms", "address_hash", "msg_type")
 

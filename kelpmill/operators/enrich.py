@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from kelpmill.functions import text as X
 from kelpmill.operators.graph import entity_type, relation_type
+from kelpmill.operators.state import merged_json
 
 Service = Callable[[list[str]], list[str]]
 
@@ -27,8 +29,8 @@ def first_json(text: Column) -> Column:
 
 
 def cut_bytes(text: Column, most: int) -> Column:
-    """The first bytes of a text with an ellipsis, never a broken character."""
-    return F.when(F.octet_length(text) > most, F.concat(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "utf-8"), 1, most).cast("string")), "\uFFFD+$", ""), F.lit("..."))).otherwise(text)
+    """The first bytes of a text with three dots, never a broken character."""
+    return F.when(F.octet_length(text) > most, F.concat(X.byte_prefix(text, most), F.lit("..."))).otherwise(text)
 
 
 def served(rows: DataFrame, service: Service, text: str) -> DataFrame:
@@ -69,20 +71,18 @@ def insights(answers: DataFrame, most: int = 3) -> DataFrame:
 
 def grounded(sentences: DataFrame, keys: DataFrame, longest: int = 400, most: int = 6) -> DataFrame:
     """Sentences of a briefing that are short enough and cite only known keys. sentences: id, at, text, cites."""
-    known = keys.agg(F.collect_set("key").alias("_known"))  # keys of one briefing, tens
-    good = sentences.crossJoin(F.broadcast(known)).filter((F.trim("text") != "") & (F.length("text") <= longest) & (F.size("cites") > 0) & (F.size(F.array_except("cites", "_known")) == 0))
+    short = sentences.filter((F.trim("text") != "") & (F.length("text") <= longest) & (F.size("cites") > 0))
+    cited = short.select("id", "at", F.explode("cites").alias("key")).join(keys.select("key", F.lit(True).alias("_known")).distinct(), "key", "left")
+    unknown = cited.filter("_known IS NULL").select("id", "at").distinct()
+    good = short.join(unknown, ["id", "at"], "left_anti")
     w = Window.partitionBy("id").orderBy("at")
     return good.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).select("id", "at", "text", "cites")
 
 
 def cache_key(version: str, model: str, latest: Column, keys: Column) -> Column:
-    """F32."""
-    return F.sha2(F.concat_ws("|", F.lit(version), F.lit(model), latest.cast("string"), F.array_join(F.array_sort(keys), ",")), 256)
-
-
-def awaiting_reply(latest: DataFrame, me: list[str]) -> DataFrame:
-    """Outcome of each thread's latest message. latest: thread, sender, outbound, auth_like."""
-    return latest.withColumn("outcome", F.when(F.col("thread").isNull(), "no thread").when(F.col("auth_like"), "auth").when(F.col("outbound") | F.coalesce(F.lower("sender").isin([m.lower() for m in me]), F.lit(False)), "outbound").when(F.coalesce(F.trim("sender"), F.lit("")) == "", "no counterpart").otherwise("action"))
+    """F32: the same for the same actions in any order; latest in UTC to the second."""
+    at = F.date_format(F.to_utc_timestamp(latest, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.sha2(F.concat_ws("|", F.lit(version), F.lit(model), at, F.array_join(F.array_sort(keys), "\n")), 256)
 
 
 def context_block(ranked: DataFrame, snippet: int = 800, most: int = 12_000) -> DataFrame:
@@ -94,15 +94,36 @@ def context_block(ranked: DataFrame, snippet: int = 800, most: int = 12_000) ->
 
 def prompt(rows: DataFrame) -> DataFrame:
     """One text per query: sections of observed and inferred rows, each with its local time. rows: query, lane, rank, title, occurred_at."""
-    when = F.coalesce(F.date_format(F.from_utc_timestamp("occurred_at", "Asia/Seoul"), "yyyy-MM-dd HH:mm"), F.lit("unknown time"))
+    when = X.korean_time(F.col("occurred_at"))
     line = rows.withColumn("_l", F.concat(F.lit("- ["), when, F.lit("] "), F.coalesce("title", F.lit(""))))
     part = line.groupBy("query", "lane").agg(F.concat(F.upper("lane"), F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_l"))), lambda x: x["_l"]), "\n")).alias("_p"))
     return part.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("lane") == "observed", 0).otherwise(1).alias("o"), "_p"))), lambda x: x["_p"]), "\n\n").alias("prompt"))
 
 
-def retry_after(attempts: Column, minutes: tuple[int, ...] = (1, 5, 30, 120)) -> Column:
-    """Waiting time by attempts; null after the last."""
-    return F.when(attempts <= len(minutes), F.element_at(F.array(*map(F.lit, minutes)), F.greatest(attempts, F.lit(1))))
+RETRY_MINUTES, MOST_ATTEMPTS = (1, 5, 30), 3  # fixed values
+
+
+def retry_after(attempts: Column, minutes: tuple[int, ...] = RETRY_MINUTES) -> Column:
+    """Minutes to wait by the number of failures; the last value holds on."""
+    return F.element_at(F.array(*map(F.lit, minutes)), F.greatest(F.lit(1), F.least(attempts, F.lit(len(minutes)))))
+
+
+def attempt_failed(metadata: Column, attempts: Column, reason: Column, now: Column) -> Column:
+    """Metadata after a failure: a time for the next attempt, or, with the last one, the state 'failed'."""
+    again = F.to_json(F.struct(attempts.alias("enrichment_attempts"), reason.alias("enrichment_last_error"), (now + F.make_dt_interval(mins=retry_after(attempts))).alias("enrichment_next_retry_at")))
+    end = F.to_json(F.struct(F.lit("failed").alias("enrichment_status"), reason.alias("enrichment_last_error")))
+    return merged_json(metadata, F.when(attempts < MOST_ATTEMPTS, again).otherwise(end))
+
+
+def note_reset(metadata: Column) -> Column:
+    """A failed note is pending again, without attempts; any other stays as it is."""
+    fresh = F.lit('{"enrichment_status":"pending","enrichment_attempts":0,"enrichment_last_error":null,"enrichment_next_retry_at":null}')
+    return F.when(F.get_json_object(metadata, "$.enrichment_status") == "failed", merged_json(metadata, fresh)).otherwise(metadata)
+
+
+def note_enriched(title: Column, metadata: Column, new_title: Column, fields: Column) -> tuple[Column, Column]:
+    """(title, metadata) of an enriched note; a blank title keeps the old one, the content is never touched."""
+    return F.when(F.coalesce(new_title, F.lit("")) != "", new_title).otherwise(title), merged_json(metadata, fields)
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:

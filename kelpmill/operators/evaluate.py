@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,18 +82,17 @@ def reweighted(lane_rows: DataFrame, weights: DataFrame) -> DataFrame:
     return lane_rows.join(weights, "lane").groupBy("candidate", "query", "id").agg(F.round(F.sum(F.col("weight") / (F.col("k") + F.col("rank"))), 9).alias("score"))
 
 
-def reindex_advice(last: datetime | None, now: datetime, docs_then: int, docs_now: int, before: float, after: float) -> list[str]:
-    """E08."""
-    if last is None:
-        return ["never indexed"]
-    out = []
-    if (now - last).days >= 7:
-        out.append("stale")
-    if docs_now - docs_then >= 1000:
-        out.append("grown")
-    if before and (before - after) / before >= 0.05:
-        out.append("worse")
-    return out
+STALE_DAYS, GROWN_BY, WORSE_BY = 7, 1000, 0.05  # fixed values
+
+
+def reindex_reasons(last: Column, now: Column, docs_then: Column, docs_now: Column, before: list[Column], after: list[Column]) -> Column:
+    """Reasons for a new index: none made yet, age, growth, any metric worse; an empty array for none."""
+    worse = F.lit(False)
+    for b, a in zip(before, after):
+        worse = worse | relative_drop(b, a, WORSE_BY)
+    old = F.unix_micros(now) - F.unix_micros(last) >= F.lit(STALE_DAYS * 86_400_000_000)
+    found = F.array_compact(F.array(F.when(old, "stale"), F.when(docs_now - docs_then >= GROWN_BY, "grown"), F.when(worse, "worse")))
+    return F.when(last.isNull(), F.array(F.lit("never indexed"))).otherwise(found)
 
 
 def freshness_alerts(status: DataFrame, stale_seconds: int = 86_400, failures: int = 3) -> DataFrame:

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The closed vocabulary of relation and entity types.
-RELATIONS = ("works_with", "works_for", "part_of", "located_in", "owns", "mentions", "depends_on", "related_to")
-ENTITIES = ("PERSON", "ORG", "PLACE", "OTHER")
+#: The closed vocabularies of relation and entity types.
+RELATIONS = ("communicated_with", "requested_of", "committed_to", "mentions", "belongs_to", "scheduled_with", "about_topic", "related_to")
+ENTITIES = ("PERSON", "ORG", "CONCEPT", "OTHER")
 
 
 def relation_type(t: Column) -> Column:
-    """Unknown relations become related_to."""
-    low = F.regexp_replace(F.lower(F.trim(t)), "[^a-z]+", "_")
-    return F.when(low.isin(*RELATIONS), low).otherwise("related_to")
+    """Values of the vocabulary as they are written; everything else, null too, becomes related_to."""
+    return F.when(t.isin(*RELATIONS), t).otherwise("related_to")
 
 
 def entity_type(t: Column) -> Column:
+    """trimmed and in upper case; everything else becomes OTHER."""
     up = F.upper(F.trim(t))
     return F.when(up.isin(*ENTITIES), up).otherwise("OTHER")
 

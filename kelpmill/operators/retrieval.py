@@ -99,12 +99,34 @@ def ranked(candidates: DataFrame, lane: str, n: int) -> DataFrame:
     return top.select("id", F.lit(lane).alias("lane"), F.row_number().over(Window.orderBy(F.desc("score"), F.asc("id"))).alias("rank"), "score")
 
 
+def fts_score(words: list[str]) -> Column:
+    """Score of a row in which all words stand, else null. Texts that don't even hold the letters of the words
+    are not cut into words."""
+    holds = F.lit(True)
+    low = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "content")]
+    for w in words:
+        holds = holds & (low[0].contains(w) | low[1].contains(w))
+    parts = F.struct(X.tokens(F.col("title")).alias("t"), X.tokens(F.col("content")).alias("c"))
+    scored = F.transform(F.array(parts), lambda p: F.when(X.matches_all(p["t"], p["c"], words), X.lexical_score(p["t"], p["c"], words)))[0]
+    return F.when(holds, scored)
+
+
 def fts_candidates(docs: DataFrame, q: SearchQuery) -> DataFrame:
     words = q.words()
     if not words:
         return docs.limit(0).select("id", F.lit(0.0).alias("score"))
-    t = docs.select("id", X.tokens(F.col("title")).alias("t"), X.tokens(F.col("content")).alias("c"))
-    return t.filter(X.matches_all(F.col("t"), F.col("c"), words)).select("id", X.lexical_score(F.col("t"), F.col("c"), words).alias("score"))
+    return docs.select("id", fts_score(words).alias("score")).filter("score IS NOT NULL")
+
+
+def text_lanes(docs: DataFrame, q: SearchQuery, n: int) -> DataFrame:
+    """(id, lane, rank, score) of the full-text and the bigram lane from one scan. Each partition passes on its n best of
+    a lane only (a limit on the groups of the window), so nothing but candidates is shuffled."""
+    words = q.words()
+    bigm = F.when(like(docs, q.text), F.greatest(X.bigram_similarity(F.col("content"), q.text), X.bigram_similarity(F.col("title"), q.text)))
+    fts = fts_score(words) if words else F.lit(None).cast("double")
+    both = docs.select("id", F.inline(F.array(F.struct(F.lit("fts").alias("lane"), fts.alias("score")), F.struct(F.lit("bigm").alias("lane"), bigm.alias("score"))))).filter("score IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("lane").orderBy(F.desc("score"), F.asc("id")))
+    return both.withColumn("rank", place).filter(F.col("rank") <= n).select("id", "lane", "rank", "score")
 
 
 def vec_candidates(docs: DataFrame, q: SearchQuery, column: str = "embedding") -> DataFrame:
@@ -130,16 +152,16 @@ def entity_candidates(docs: DataFrame, mentions: DataFrame, q: SearchQuery) -> D
 def fulltext(docs: DataFrame, q: SearchQuery) -> DataFrame:
     """Full-text search without vectors: all words match, or the text as a substring."""
     words, rows = q.words(), filtered(docs, q)
-    t = rows.withColumn("_t", X.tokens(F.col("title"))).withColumn("_c", X.tokens(F.col("content")))
-    score = X.lexical_score(F.col("_t"), F.col("_c"), words) if words else F.lit(0.0)
-    found = t.filter((X.matches_all(F.col("_t"), F.col("_c"), words) if words else F.lit(False)) | like(rows, q.text))
-    return found.select("id", "source_type", score.alias("score")).orderBy(F.desc("score"), "id").limit(q.limit)
+    every = fts_score(words) if words else F.lit(None).cast("double")
+    found = rows.select("id", "source_type", every.alias("_all"), like(rows, q.text).alias("_like"), "title", "content").filter("_all IS NOT NULL OR _like")
+    part = X.lexical_score(X.tokens(F.col("title")), X.tokens(F.col("content")), words) if words else F.lit(0.0)
+    return found.select("id", "source_type", F.coalesce("_all", part).alias("score")).orderBy(F.desc("score"), "id").limit(q.limit)
 
 
 def lanes(docs: DataFrame, q: SearchQuery, mentions: DataFrame | None = None, summaries: bool = False) -> DataFrame:
     """(id, lane, rank, score) of all lanes that have a weight, each cut to twice the limit."""
     rows, n, w = filtered(docs, q), 2 * q.limit, q.weights
-    out = [ranked(fts_candidates(rows, q), "fts", n), ranked(vec_candidates(rows, q), "vec", n), ranked(bigm_candidates(rows, q), "bigm", n)]
+    out = [text_lanes(rows, q, n), ranked(vec_candidates(rows, q), "vec", n)]
     if summaries and w.summvec > 0:
         out.append(ranked(vec_candidates(rows, q, "summary_embedding"), "summvec", n))
     if mentions is not None and w.entity > 0:
@@ -195,13 +217,15 @@ def chunk_best(scored: DataFrame, n: int) -> DataFrame:
 
 def chunk_fts(chunks: DataFrame, q: SearchQuery) -> DataFrame:
     """Chunks in which all words or the text stand; a mere substring scores 0.01."""
-    words = q.words()
-    t = chunks.withColumn("_t", X.tokens(F.col("chunk")))
+    words, low = q.words(), F.lower("chunk")
     none = F.array().cast("array<string>")
-    every = X.matches_all(none, F.col("_t"), words) if words else F.lit(False)
-    substring = F.col("chunk").like(f"%{q.text}%")
-    score = F.greatest(F.when(every, X.lexical_score(none, F.col("_t"), words or [""])).otherwise(0.0), F.when(substring, 0.01).otherwise(0.0))
-    return t.filter(every | substring).select("id", "chunk_index", F.round(score, 6).alias("score"))
+    substring = F.when(F.col("chunk").like(f"%{q.text}%"), 0.01)
+    holds = F.lit(bool(words))
+    for w in words:
+        holds = holds & low.contains(w)
+    scored = F.transform(F.array(X.tokens(F.col("chunk"))), lambda t: F.when(X.matches_all(none, t, words), X.lexical_score(none, t, words or [""])))[0]
+    rows = chunks.select("id", "chunk_index", F.when(holds, scored).alias("_f"), substring.alias("_s")).filter("_f IS NOT NULL OR _s IS NOT NULL")
+    return rows.select("id", "chunk_index", F.round(F.greatest(F.coalesce("_f", F.lit(0.0)), F.coalesce("_s", F.lit(0.0))), 6).alias("score"))
 
 
 def merged(primary: DataFrame, secondary: DataFrame, limit: int) -> DataFrame:
@@ -236,3 +260,38 @@ def reranked(rows: DataFrame, score: Column | None) -> DataFrame:
 def curated(rows: DataFrame, verdicts: DataFrame, least: float = 0.3) -> DataFrame:
     """Verdicts (index, relevance) joined by place; unknown places drop, weak ones too. rows: index."""
     return rows.join(verdicts, "index").filter(F.col("relevance") >= least).orderBy(F.desc("relevance"), "index")
+
+
+def ordered_union(*parts: Column) -> Column:
+    """The values of several arrays in order, each once; null arrays hold nothing."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.coalesce(p, none) for p in parts]))
+
+
+def answer_sources(rows: DataFrame) -> DataFrame:
+    """What an answer shows of the documents it rests on."""
+    return rows.select("id", "title", "source_type", "score", "occurred_at")
+
+
+def expanded(question: str, write=None) -> str:
+    """The question and behind it a passage that could answer it; without a writer, or if it fails or writes
+    nothing, the question alone."""
+    if write is None:
+        return question
+    try:
+        passage = write(question)
+    except Exception:  # noqa: BLE001 - a service may fail in any way
+        return question
+    return f"{question}\n\n{passage}" if passage else question
+
+
+def snippets(hits: DataFrame, docs: DataFrame, match_type: str) -> DataFrame:
+    """Hits of chunks as results: the chunk is the snippet, titles and sources come from the documents.
+
+    hits: id, chunk, score, at most a few times the limit."""
+    return hits.join(docs.select("id", "title", "source_type"), "id").select("id", "title", "source_type", F.col("chunk").alias("snippet"), "score", F.lit(match_type).alias("match_type"))
+
+
+def by_score(rows: DataFrame, order: str) -> DataFrame:
+    """By score, equal ones in the order they came in."""
+    return rows.orderBy(F.desc("score"), order)

@@ -75,9 +75,14 @@ def upsert_actions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def toggled_votes(votes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Each vote replaces the one before; the same vote again takes it back. The state after all votes is 0 or the
-    last vote, by the parity of the run of equal votes at the end; the fold runs over the sorted votes of a key."""
-    votes = votes.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "thumbs"))), lambda v: v["thumbs"]).alias("v"))
-    return votes.select(*keys, F.aggregate("v", F.lit(0), lambda state, x: F.when(state == x, 0).otherwise(x)).alias("thumbs"))
+    last vote, by the parity of the run of equal votes at the end. That run begins behind the last other vote, so three
+    aggregations with partial results find it; no key's votes are gathered. Of votes of one order number one counts."""
+    one = votes.groupBy(*keys, order).agg(F.max("thumbs").alias("thumbs"))
+    last = one.groupBy(*keys, "thumbs").agg(F.max(order).alias("_at"))
+    ends = last.groupBy(*keys).agg(F.max(F.struct("_at", "thumbs")).alias("_l"), F.array_sort(F.collect_list("_at")).alias("_ats"))  # one for each value of a vote
+    ends = ends.select(*keys, F.col("_l.thumbs").alias("_last"), F.when(F.size("_ats") > 1, F.element_at("_ats", -2)).alias("_before"))
+    run = one.join(ends, keys).filter((F.col("thumbs") == F.col("_last")) & (F.col("_before").isNull() | (F.col(order) > F.col("_before"))))
+    return run.groupBy(*keys, "_last").agg((F.count(F.lit(1)) % 2).alias("_odd")).select(*keys, F.when(F.col("_odd") == 1, F.col("_last")).otherwise(0).alias("thumbs"))
 
 
 def failures_folded(failed: DataFrame, key: str, at: str) -> DataFrame:
@@ -92,11 +97,13 @@ def set_once(old: Column, new: Column) -> Column:
 
 
 def merged_json(old: Column, new: Column) -> Column:
-    """shallow merge of two JSON objects of text values, the new one winning."""
-    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    entries = F.map_entries(as_map(new))
-    left = F.map_filter(as_map(old), lambda k, _: ~F.coalesce(F.array_contains(F.transform(entries, lambda e: e["key"]), k), F.lit(False)))
-    return F.to_json(F.map_from_entries(F.array_sort(F.concat(F.map_entries(left), entries))))
+    """shallow merge of two JSON objects, the new one winning; values keep their types, keys come sorted."""
+    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    added = F.map_keys(as_map(new))
+    left = F.map_filter(as_map(old), lambda k, _: ~F.array_contains(added, k))
+    both = F.map_concat(left, as_map(new))
+    keys = F.array_sort(F.map_keys(both))
+    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(both, k))))
 
 
 def promoted(history: DataFrame, new_id: int, now: Column) -> DataFrame:
@@ -107,13 +114,68 @@ def promoted(history: DataFrame, new_id: int, now: Column) -> DataFrame:
 
 def rolled_back(history: DataFrame) -> DataFrame:
     """The superseded set promoted last becomes active again."""
-    target = history.filter("status = 'superseded'").orderBy(F.desc_nulls_last("promoted_at"), F.desc("id")).limit(1).select(F.col("id").alias("_t"))
-    marked = history.join(F.broadcast(target), F.col("id") == F.col("_t"), "left")
-    some = F.max(F.col("_t").isNotNull()).over(Window.partitionBy(F.lit(0)))
-    status = F.when(F.col("_t").isNotNull(), "active").when(some & (F.col("status") == "active"), "superseded").otherwise(F.col("status"))
+    target = history.filter("status = 'superseded'").agg(F.max(F.struct("promoted_at", "id"))["id"].alias("_t"))  # one row
+    marked = history.crossJoin(F.broadcast(target))
+    status = F.when(F.col("id") == F.col("_t"), "active").when(F.col("_t").isNotNull() & (F.col("status") == "active"), "superseded").otherwise(F.col("status"))
     return marked.withColumn("status", status).drop("_t")
 
 
+def active_weights(history: DataFrame, configured: DataFrame) -> DataFrame:
+    """The weights of the one active set; where none is active or all of its weights are zero, the configured ones.
+
+    history: id, status and the columns of configured, which has one row.
+    """
+    names = configured.columns
+    some = F.greatest(*[F.abs(F.coalesce(F.col(n), F.lit(0.0))) for n in names]) > 0
+    live = history.filter(F.col("status") == "active").filter(some).agg(F.max_by(F.struct(*names), "id").alias("_a"))
+    return configured.select(F.struct(*names).alias("_c")).crossJoin(F.broadcast(live)).select(F.coalesce("_a", "_c").alias("_w")).select("_w.*")
+
+
+def rekeyed(docs: DataFrame, most_conflicts: int = 500) -> DataFrame:
+    """Ids of old messages by body hash become ids by direction; of several of one new id the one updated last keeps
+    living and the others are deleted. More conflicts than most_conflicts raise, and nothing changes."""
+    way = F.get_json_object("metadata", "$.direction")
+    part = lambda i: F.split_part("source_id", F.lit(":"), F.lit(i))
+    mine = (F.col("source_type") == "sms") & (F.col("status") == "active") & part(4).rlike("^[0-9a-f]{8}$") & (F.coalesce(way, F.lit("")) != "")
+    new_id = F.when(mine, F.concat(F.lit("sms:"), part(2), F.lit(":"), part(3), F.lit(":"), way))
+    rows = docs.withColumn("_new", new_id)
+    winners = rows.filter("_new IS NOT NULL").groupBy("_new").agg(F.max(F.struct("updated_at", "id"))["id"].alias("_w"), F.count(F.lit(1)).alias("_n"))
+    lost = winners.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]  # one number
+    if lost > most_conflicts:
+        raise ValueError(f"{lost} conflicts, more than {most_conflicts}")
+    joined = rows.join(winners.select("_new", "_w"), "_new", "left")
+    wins, loses = F.col("id") == F.col("_w"), F.col("id") != F.col("_w")
+    out = {"source_id": F.when(wins, F.col("_new")).otherwise(F.col("source_id")), "status": F.when(loses, "deleted").otherwise(F.col("status"))}
+    return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+
+
+def split_backfilled(feedback: DataFrame) -> DataFrame:
+    """A split for every row with a query and none yet; a split once given never changes."""
+    from kelpmill.functions.text import split_of
+
+    return feedback.withColumn("split", F.when(F.col("split").isNull() & (F.trim(F.coalesce("query", F.lit(""))) != ""), split_of(F.col("query"))).otherwise(F.col("split")))
+
+
+def claimed(pending: DataFrame, claims: DataFrame, order: str, limit: int) -> DataFrame:
+    """The first `limit` rows that no other worker holds; rows held elsewhere are passed over, not waited for."""
+    return pending.join(claims.select(order).distinct(), order, "left_anti").orderBy(order).limit(limit)
+
+
 def replace_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     """All chunks of the documents in new are replaced."""
     return old.join(new.select("id").distinct(), "id", "left_anti").unionByName(new)
+
+
+def appended(history: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """Rows behind a history, with ids that go on from its greatest; rows are those of one run, a bounded few."""
+    last = history.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))  # one row
+    numbered = rows.crossJoin(F.broadcast(last)).withColumn(key, F.col("_last") + F.row_number().over(Window.orderBy(*rows.columns)))
+    return history.unionByName(numbered.select(*history.columns))
+
+
+NO_ID = "00000000-0000-0000-0000-000000000000"
+
+
+def turn_id(given: Column) -> Column:
+    """The id that came with a turn, or a new one where none did."""
+    return F.coalesce(F.nullif(F.nullif(given, F.lit("")), F.lit(NO_ID)), F.uuid())

@@ -46,14 +46,11 @@ query("p06_insights_asked", N_SQL.format("status = 'active' AND source_type = 'i
 query("p08_after_top_k", f"WITH {PR.BASE}, {PR.FTS} SELECT fts.id, rank FROM fts JOIN brain_documents USING (id) WHERE source_type <> 'gmail'")(lambda s, d: _after(s, d))
 query("p13_optional", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice >= 1000 AND o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY")(lambda s, d: _optional(s, d, kinds=["1-URGENT", "2-HIGH"], least=1000.0, days=90))
 query("p20_clamped_lists", "SELECT source_type, least(count(*), 50) AS shown FROM brain_documents GROUP BY 1")(lambda s, d: docs(s, d).groupBy("source_type").agg(F.least(F.count(F.lit(1)), F.lit(V.clamp(500, 20, 50))).alias("shown")))
-query("p26_known_ids", "SELECT DISTINCT recording_id FROM whisper_segments WHERE recording_id NOT IN (SELECT source_id FROM brain_documents WHERE source_type = 'call-transcript' AND source_id IS NOT NULL)")(lambda s, d: T("whisper_segments")(s, d).select("recording_id").distinct().join(docs(s, d).filter("source_type = 'call-transcript'").select(col("source_id").alias("recording_id")), "recording_id", "left_anti"))
 
 # retrieval
 GATE = "g AS (SELECT avg((embedding IS NOT NULL)::INT) AS coverage FROM brain_documents WHERE status = 'active')"
 query("r05_summvec_lane", f"WITH {PR.BASE}, {PR.QV}, s AS (SELECT id, embedding FROM base WHERE len(title) > 0) SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, score FROM (SELECT id, {PR.COS} AS score FROM s, qv WHERE {PR.USABLE}) QUALIFY rank <= 40")(lambda s, d: _summary(s, d))
 query("r09_weights_gate", f"WITH {GATE} SELECT coverage >= 0.80 AS on_, CASE WHEN coverage >= 0.80 THEN 0.8 ELSE 0.0 END::DOUBLE AS summary_weight FROM g")(lambda s, d: A.coverage(docs(s, d), "embedding").select((col("coverage") >= 0.80).alias("on_"), F.when(col("coverage") >= 0.80, F.lit(0.8)).otherwise(F.lit(0.0)).alias("summary_weight")))
-query("r10_active_weights", "SELECT max(n_nationkey) AS id FROM nation WHERE n_regionkey = 1")(lambda s, d: T("nation")(s, d).filter("n_regionkey = 1").agg(F.max("n_nationkey").alias("id")))
-query("r14_snippets", "SELECT record_id, substr(content, 1, 200) AS snippet, 'fulltext' AS match_type FROM brain_documents WHERE status = 'active' AND source_type = 'notion'")(lambda s, d: docs(s, d).filter("status = 'active' AND source_type = 'notion'").select("record_id", F.substring("content", 1, 200).alias("snippet"), F.lit("fulltext").alias("match_type")))
 query("r21_entity_weights", PR.WITH.replace("sum(1.0::DOUBLE / (60 + rank))", "sum(w / (60 + rank))").replace("SELECT id, rank FROM fts UNION ALL SELECT id, rank FROM vec UNION ALL SELECT id, rank FROM bigm", "SELECT id, rank, 1.0::DOUBLE AS w FROM fts UNION ALL SELECT id, rank, 1.0 FROM vec UNION ALL SELECT id, rank, 1.5 FROM bigm") + "SELECT id, score FROM rrf")(lambda s, d: V.fused(V.lanes(docs(s, d), PR.query(s, d)), V.SearchWeights(bigm=1.5)))
 query("j02_fetch", PR.WITH + "SELECT record_id, score FROM (SELECT * FROM rrf ORDER BY score DESC, id LIMIT 40) JOIN brain_documents USING (id)")(lambda s, d: docs(s, d).select("id", "record_id").join(F.broadcast(V.fused(V.lanes(docs(s, d), PR.query(s, d)), V.SearchWeights()).orderBy(F.desc("score"), "id").limit(40)), "id").select("record_id", "score"))
 query("w01_global_rank", f"WITH {PR.BASE} SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, length(content)::DOUBLE AS score FROM base WHERE content IS NOT NULL) QUALIFY rank <= 40")(lambda s, d: V.ranked(V.filtered(docs(s, d), Q("x")).filter("content IS NOT NULL").select("id", F.length("content").cast("double").alias("score")), "x", 40).select("id", "rank"))
@@ -65,7 +62,6 @@ query("t05_recency_keys", PR.WITH + ", top AS (SELECT id, score, coalesce(occurr
 query("t07_prompt_actions", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END NULLS LAST, o_orderkey LIMIT 40")(lambda s, d: orders(s, d).filter("o_orderstatus = 'O'").orderBy(F.when(col("o_orderkey") % 2 == 0, col("o_orderdate")).asc_nulls_last(), "o_orderkey").limit(40).select("o_orderkey"))
 query("t08_newest_edges", f"WITH {EDGES} SELECT evidence, observed_at FROM e ORDER BY observed_at DESC, evidence, to_id, from_id LIMIT 100")(lambda s, d: edges(s, d).orderBy(F.desc("observed_at"), "evidence", "to_id", "from_id").limit(100).select("evidence", "observed_at"))
 query("u04_set_union", f"WITH {FB} SELECT query, array_to_string(list_sort(list(DISTINCT document_id)), ',') AS ids FROM fb WHERE thumbs <> 0 GROUP BY 1")(lambda s, d: A.eval_pairs(A.feedback(events(s, d))).select("query", F.array_join(F.array_sort(F.array_union("relevant", "irrelevant")), ",").alias("ids")))
-query("u05_ordered_union", "SELECT unnest(['gmail', 'slack', 'note']) AS source_type")(lambda s, d: s.createDataFrame([(x,) for x in Q("x", source_type="gmail", source_types=("slack", "gmail", "note")).includes()], "source_type string"))
 
 # joins and aggregations of the graph and of evaluation
 query("j08_two_roles", "SELECT c_name AS a, s_name AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2")(lambda s, d: edges(s, d).join(T("customer")(s, d).select(col("c_custkey").alias("from_id"), col("c_name").alias("a")), "from_id").join(T("supplier")(s, d).select(col("s_suppkey").alias("to_id"), col("s_name").alias("b")), "to_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
@@ -84,15 +80,11 @@ query("f45_fp_penalty", EV + "SELECT query, round(len(list_intersect(results, ir
 SPLIT = "CASE WHEN ('0x' || substr(md5('sbfeedback:v1:' || lower(trim(query, ' '))), 1, 8))::BIGINT % 100 < 70 THEN 'train' ELSE 'holdout' END"
 query("e03_split_sizes", f"WITH {FB}, p AS ({PAIRS}) SELECT {SPLIT} AS part, count(*) AS n FROM p GROUP BY 1")(lambda s, d: A.eval_pairs(A.feedback(events(s, d))).groupBy(X.split_of(col("query")).alias("part")).agg(F.count(F.lit(1)).alias("n")))
 query("e07_judge", EV + f"SELECT part, round(avg(coalesce({DCG.format(k=10)} / {IDEAL.format(k=10)}, 0)), 6) AS ndcg10 FROM (SELECT *, {SPLIT} AS part FROM runs) runs GROUP BY 1")(lambda s, d: runs(s, d).groupBy(X.split_of(col("query")).alias("part")).agg(F.round(F.avg(E.ndcg(col("results"), col("relevant"), 10)), 6).alias("ndcg10")))
-query("e08_reindex", "SELECT (SELECT count(*) FROM brain_documents WHERE status = 'active') - (SELECT count(*) FROM brain_documents WHERE embedding IS NOT NULL) >= 1000 AS grown")(lambda s, d: docs(s, d).agg((F.count_if(col("status") == "active") - F.count("embedding") >= 1000).alias("grown")))
 
 # scalar rules
 query("f03_lexical", f"WITH {PR.BASE} SELECT id, {PR.SCORE} AS score FROM ({PR.TOK})")(lambda s, d: V.filtered(docs(s, d), Q("x")).select("id", X.lexical_score(X.tokens(col("title")), X.tokens(col("content")), ["the", "parcel"]).alias("score")))
 query("f04_bigrams", f"SELECT record_id, {PR.SIM.format('title')} AS similarity FROM brain_documents")(lambda s, d: docs(s, d).select("record_id", X.bigram_similarity(col("title"), "the parcel").alias("similarity")))
-query("f11_action_summary", "SELECT record_id, strlen(regexp_replace(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), '[\\p{P}\\p{S}]', '', 'g')) <= 80 AS short FROM brain_documents WHERE title IS NOT NULL")(lambda s, d: docs(s, d).filter("title IS NOT NULL").select("record_id", (F.octet_length(X.action_summary(col("title"), F.lit("task"))) <= 80).alias("short")))
 query("f27_first_json", "SELECT record_id, json_extract_string(metadata, '$.language') AS language FROM brain_documents WHERE metadata IS NOT NULL")(lambda s, d: docs(s, d).filter("metadata IS NOT NULL").select("record_id", F.get_json_object(N.first_json(F.concat(F.lit("Sure:\n```json\n"), "metadata", F.lit("\n```"))), "$.language").alias("language")))
-query("f32_cache_key", "SELECT source_type, sha256('v1|m|' || max(record_id) || '|' || string_agg(DISTINCT status, ',' ORDER BY status)) AS k FROM brain_documents GROUP BY 1")(lambda s, d: docs(s, d).groupBy("source_type").agg(F.max("record_id").alias("r"), F.collect_set("status").alias("s")).select("source_type", N.cache_key("v1", "m", col("r"), col("s")).alias("k")))
-query("f36_recorded_at", "SELECT DISTINCT recording_id, TIMESTAMP '2025-06-01 12:00:00' AS at FROM whisper_segments")(lambda s, d: T("whisper_segments")(s, d).select("recording_id").distinct().select("recording_id", FS.recorded_at(F.lit("call_20250601_120000.m4a"), F.lit(None).cast("timestamp")).cast("timestamp_ntz").alias("at")))
 query("f38_backfill", "SELECT record_id, try_strptime(regexp_extract(content, '(\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2})', 1), '%Y-%m-%d %H:%M:%S') AS at FROM brain_documents WHERE source_type = 'call-log' AND content IS NOT NULL")(lambda s, d: docs(s, d).filter("source_type = 'call-log' AND content IS NOT NULL").select("record_id", F.try_to_timestamp(F.regexp_extract("content", r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", 1), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("at")))
 
 # lifecycle
@@ -102,15 +94,9 @@ query("m09_open_status", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0
 query("m10_feedback_upsert", f"WITH {FB} SELECT query, document_id, session, arg_max(thumbs, event_id) AS thumbs FROM fb GROUP BY 1, 2, 3")(lambda s, d: S.latest(A.feedback(events(s, d)).select("query", "document_id", "session", "event_id", "thumbs"), ["query", "document_id", "session"], "event_id").drop("event_id"))
 query("m12_watermarks", "SELECT source_type, max(started_at) FILTER (error_text IS NULL AND finished_at IS NOT NULL) AS watermark FROM collection_log GROUP BY 1")(lambda s, d: log(s, d).groupBy("source_type").agg(F.max(F.when(col("error_text").isNull() & col("finished_at").isNotNull(), col("started_at"))).alias("watermark")))
 query("m13_ledger", "SELECT recording_id FROM whisper_segments UNION SELECT recording_id FROM diar_segments")(lambda s, d: S.insert_ignore(T("whisper_segments")(s, d).select("recording_id").distinct(), T("diar_segments")(s, d).select("recording_id"), ["recording_id"]))
-query("m16_enrichment_states", "SELECT record_id, CASE WHEN length(content) > 2000 THEN 'failed' WHEN embedding IS NULL THEN 'pending' ELSE 'enriched' END AS state FROM brain_documents WHERE source_type = 'note'")(lambda s, d: docs(s, d).filter("source_type = 'note'").select("record_id", F.when(F.length("content") > 2000, "failed").when(col("embedding").isNull(), "pending").otherwise("enriched").alias("state")))
-query("m18_append", "SELECT batch_id FROM collection_log UNION ALL SELECT max(batch_id) + 1 FROM collection_log")(lambda s, d: log(s, d).select("batch_id").unionByName(log(s, d).agg((F.max("batch_id") + 1).alias("batch_id"))))
-query("m19_turn_ids", "SELECT record_id, coalesce(nullif(id, ''), 'x') AS id FROM brain_documents")(lambda s, d: docs(s, d).select("record_id", F.coalesce(F.nullif("id", F.lit("")), F.lit("x")).alias("id")))
 query("s02_incremental", "SELECT record_id FROM brain_documents WHERE collected_at > TIMESTAMPTZ '2025-06-20 00:00:00+00' OR source_id NOT IN (SELECT 'gmail:' || message_id FROM gmail_messages)")(lambda s, d: FS.incremental(docs(s, d).select("record_id", "source_id", col("collected_at").alias("mtime")), F.expr("TIMESTAMP '2025-06-20 00:00:00'"), T("gmail_messages")(s, d).select(F.concat(F.lit("gmail:"), "message_id").alias("source_id"))).select("record_id"))
 query("s12_slack_dedup", "SELECT count(*) AS n FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type <> '')")(lambda s, d: M.map_slack(events(s, d).select(col("user_id").cast("string").alias("channel"), F.unix_micros(col("ts").cast("timestamp")).cast("string").alias("ts"), F.lit("u").alias("user"), col("event_type").alias("text"), F.lit(None).cast("string").alias("thread_ts"))).agg(F.count(F.lit(1)).alias("n")))
-query("s29_valid_notes", "SELECT record_id, length(trim(coalesce(content, ''))) > 0 AND length(coalesce(title, '')) <= 300 AS valid FROM brain_documents WHERE source_type = 'note'")(lambda s, d: docs(s, d).filter("source_type = 'note'").select("record_id", M.valid_note(col("title"), col("content")).alias("valid")))
-query("st3_cutover", "SELECT record_id FROM ingest_sms WHERE date_ms >= 1750000000000")(lambda s, d: sms(s, d).filter("date_ms >= 1750000000000").select("record_id"))
 query("st4_late_rows", "SELECT record_id FROM ingest_sms s WHERE date_ms >= 1748736000000 AND (date_ms > 1750500000000 OR record_id::VARCHAR NOT IN (SELECT record_id::VARCHAR FROM ingest_calls))")(lambda s, d: _late(s, d))
-query("l05_retry_after", "SELECT n, CASE WHEN n <= 4 THEN [1, 5, 30, 120][greatest(n, 1)] END AS minutes FROM range(8) t(n)")(lambda s, d: s.range(8).select(col("id").alias("n"), N.retry_after(col("id").cast("int")).alias("minutes")))
 
 
 def _after(s, d):

@@ -78,13 +78,6 @@ def r15(s, d):
     return R.hybrid_search(docs(s, d), query(s, d, sort="recent", begin=BEGIN, end=END, exclude=("sms",)), NOW).select("id", "occurred_at", "score")
 
 
-def r11(s, d):
-    """Chunk vector search: a chunk has the vector of its document here, so the least chunk of a document wins."""
-    q = query(s, d)
-    scored = R.vec_candidates(R.filtered(docs(s, d), q), q).join(chunks(s, d).select("id", "chunk_index"), "id")
-    return R.chunk_best(scored, LIMIT)
-
-
 def r12(s, d):
     q = query(s, d, vector=None)
     return R.chunk_best(R.chunk_fts(chunks(s, d), q), LIMIT)
@@ -151,7 +144,7 @@ MENTIONS = "mentions AS (SELECT DISTINCT id, type, name FROM (" + " UNION ALL ".
 
 QUERIES = {
     "r01_fulltext": r01, "r02_fts_lane": lane("fts", R.fts_candidates), "r03_vec_lane": lane("vec", R.vec_candidates), "r04_bigm_lane": lane("bigm", R.bigm_candidates),
-    "r06_entity_lane": r06, "r07_rrf_union": r07, "j01_rrf_full_outer": j01, "r08_hybrid_search": r08, "r11_chunk_vector": r11, "r12_chunk_fts": r12, "r13_merge_rrf": r13,
+    "r06_entity_lane": r06, "r07_rrf_union": r07, "j01_rrf_full_outer": j01, "r08_hybrid_search": r08, "r12_chunk_fts": r12, "r13_merge_rrf": r13,
     "r15_recency_sort": r15, "r17_linear_rerank": r17, "r18_entity_attach": r18, "p04_includes": p04, "p05_window": p05, "p07_like": p07, "p09_semi_window": p09,
 }
 SQL = {
@@ -163,7 +156,6 @@ SQL = {
     "r07_rrf_union": WITH + "SELECT id, score FROM rrf",
     "j01_rrf_full_outer": WITH + "SELECT id, score FROM rrf",
     "r08_hybrid_search": WITH + "SELECT id, source_type, title, score FROM (SELECT * FROM rrf ORDER BY score DESC, id LIMIT 40) JOIN brain_documents USING (id) ORDER BY score DESC, id LIMIT 20",
-    "r11_chunk_vector": f"WITH {BASE}, {QV}, {CHUNKS}, scored AS (SELECT id, chunk_index, {COS} AS score FROM base JOIN chunks USING (id), qv WHERE {USABLE} AND chunk <> '') {BEST}",
     "r12_chunk_fts": f"WITH {CHUNKS}, c AS (SELECT id, chunk_index, chunk, {WORD_LIST.format('chunk')} AS c FROM chunks WHERE chunk <> ''), scored AS (SELECT id, chunk_index, greatest(CASE WHEN list_contains(c, 'the') AND list_contains(c, 'parcel') THEN round({' + '.join(CTF.format(w) for w in ('the', 'parcel'))}, 6) ELSE 0 END, CASE WHEN chunk LIKE '%the parcel%' THEN 0.01 ELSE 0 END)::DOUBLE AS score FROM c WHERE (list_contains(c, 'the') AND list_contains(c, 'parcel')) OR chunk LIKE '%the parcel%') {BEST}",
     "r13_merge_rrf": f"""WITH {BASE}, {QV}, {FTS}, {VEC}, p AS (SELECT id, rank AS p FROM fts WHERE rank <= 15), s AS (SELECT id, rank AS s FROM vec WHERE rank <= 30),
         b AS (SELECT coalesce(p.id, s.id) AS id, p, s, row_number() OVER (PARTITION BY p IS NULL ORDER BY s NULLS LAST, coalesce(p.id, s.id)) AS place FROM p FULL JOIN s ON p.id = s.id)

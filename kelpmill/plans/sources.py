@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kelpmill.functions import text as X
 from kelpmill.operators import enrich as N
-from kelpmill.plans.analytics import AUTH, T, calls, docs, gmail, sms
+from kelpmill.plans.analytics import docs, sms
 from kelpmill.sources import files as S
 from kelpmill.sources import messages as M
 from kelpmill.sources.extract import extracted
@@ -26,49 +25,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-WAY = "CASE msg_type WHEN 1 THEN 'received' WHEN 2 THEN 'sent' WHEN 3 THEN 'draft' WHEN 4 THEN 'outbox' WHEN 5 THEN 'failed' WHEN 6 THEN 'queued' ELSE 'unknown' END"
-CODES = f"CASE WHEN {AUTH.format('body')} THEN regexp_replace(body, '\\b[0-9]{{4,8}}\\b', '[CODE]', 'g') ELSE body END"
-query("s23_sms_documents", f"SELECT 'sms:' || date_ms || ':' || substr(sha256(regexp_replace(address, '[^0-9A-Za-z+]', '', 'g')), 1, 16) || ':' || {WAY} AS source_id, 'SMS ' || coalesce(contact_name, address) AS title, md5({CODES}) AS content FROM ingest_sms")(lambda s, d: M.map_sms(sms(s, d)).select("source_id", "title", F.md5("content").alias("content")))
-query("s23_call_documents", "SELECT 'call:' || date_ms || ':' || substr(sha256(coalesce(number, '')), 1, 16) AS source_id, 'Call ' || coalesce(contact_name, number, 'unknown') AS title, make_timestamp(date_ms * 1000) AS occurred_at FROM ingest_calls")(lambda s, d: M.map_calls(calls(s, d)).select("source_id", "title", col("occurred_at").cast("timestamp_ntz").alias("occurred_at")))
 query("s26_ingest_split", "SELECT CASE WHEN address IS NULL OR trim(address) = '' OR date_ms IS NULL OR date_ms <= 0 OR NOT coalesce(msg_type BETWEEN 1 AND 6, false) THEN 'error' WHEN date_ms < 1750000000000 THEN 'skipped' ELSE 'accepted' END AS outcome, count(*) AS n FROM ingest_sms GROUP BY 1")(lambda s, d: M.ingest_split(sms(s, d), 1_750_000_000_000).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
 query("s27_upload_id", "SELECT record_id, 'upload:' || substr(sha256(title || content), 1, 12) AS source_id FROM brain_documents WHERE title IS NOT NULL AND content IS NOT NULL")(lambda s, d: docs(s, d).filter("title IS NOT NULL AND content IS NOT NULL").select("record_id", S.upload_id(col("title"), F.encode("content", "utf-8")).alias("source_id")))
-query("s14_gmail_documents", "SELECT 'gmail:' || message_id AS source_id, subject AS title, make_timestamp(internal_date::BIGINT * 1000) AS occurred_at FROM gmail_messages")(lambda s, d: _gmail(s, d))
-query("s06_html_text", "SELECT record_id, md5(coalesce(array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), '|'), '')) AS h FROM brain_documents WHERE source_type = 'note' AND NOT regexp_matches(content, '[<>&\\r]')")(lambda s, d: _html(s, d))
-query("s06_html_pages")(lambda s, d: _html_pages(s, d))
-query("s30_feed_dedup", "SELECT DISTINCT message_id AS id FROM gmail_messages g WHERE NOT EXISTS (SELECT 1 FROM gmail_messages o WHERE list_contains(o.label_ids, 'SENT') AND o.message_id = g.message_id)")(lambda s, d: _feed(s, d))
 query("s35_point_lookup", "SELECT id, title FROM brain_documents WHERE record_id = (SELECT min(record_id) FROM brain_documents)")(lambda s, d: docs(s, d).join(F.broadcast(docs(s, d).agg(F.min("record_id").alias("record_id"))), "record_id").select("id", "title"))
-query("l01_byte_cut", "SELECT record_id, strlen(content) > 2000 AS cut FROM brain_documents WHERE content IS NOT NULL")(lambda s, d: docs(s, d).filter("content IS NOT NULL").select("record_id", N.cut_bytes(col("content"), 2000).endswith("...").alias("cut"), col("content").endswith("...").alias("_e"), (F.octet_length("content") > 2000).alias("_l")).select("record_id", (col("cut") & (~col("_e") | col("_l"))).alias("cut")))
-query("l06_awaiting", f"SELECT message_id, CASE WHEN thread_id IS NULL THEN 'no thread' WHEN {AUTH.format('subject')} THEN 'auth' WHEN list_contains(label_ids, 'SENT') THEN 'outbound' WHEN coalesce(trim(from_header), '') = '' THEN 'no counterpart' ELSE 'action' END AS outcome FROM gmail_messages")(lambda s, d: N.awaiting_reply(gmail(s, d).select("message_id", col("thread_id").alias("thread"), col("from_header").alias("sender"), F.array_contains("label_ids", "SENT").alias("outbound"), X.auth_like(col("subject")).alias("auth_like")), []).select("message_id", "outcome"))
 query("l11_context", "WITH r AS (SELECT source_type AS query, record_id AS rank, substr(content, 1, 800) AS snippet FROM brain_documents WHERE content IS NOT NULL AND status = 'active') SELECT query, rank, snippet FROM (SELECT *, sum(strlen(snippet)) OVER (PARTITION BY query ORDER BY rank ROWS UNBOUNDED PRECEDING) AS t FROM r) WHERE t <= 12000")(lambda s, d: N.context_block(docs(s, d).filter("content IS NOT NULL AND status = 'active'").select(col("source_type").alias("query"), col("record_id").alias("rank"), col("content").alias("text"))))
-query("l12_projection", "SELECT id, title, source_type, occurred_at FROM brain_documents WHERE source_type = 'calendar'")(lambda s, d: docs(s, d).filter("source_type = 'calendar'").select("id", "title", "source_type", "occurred_at"))
 query("st9_embedded")(lambda s, d: N.embedded(docs(s, d).filter("embedding IS NULL AND content IS NOT NULL").select("id", col("content").alias("text")), N.hashing_embedder()))
 
 
-def _gmail(s, d):
-    g = gmail(s, d)
-    headers = F.array(*[F.struct(F.lit(n).alias("name"), col(c).alias("value")) for n, c in (("Subject", "subject"), ("From", "from_header"), ("To", "to_header"))])
-    parts = F.array(F.struct(F.lit("text/plain").alias("mimeType"), F.lit("aGk").alias("data")))
-    raw = g.select(col("message_id").alias("id"), col("thread_id").alias("threadId"), col("internal_date").alias("internalDate"), headers.alias("headers"), parts.alias("parts"))
-    return M.map_gmail(raw).select("source_id", "title", col("occurred_at").cast("timestamp_ntz").alias("occurred_at"))
-
-
-def _page_hashes(rows, content):
-    lines = F.array_join(F.transform(F.split(content, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
-    page = F.encode(F.concat(F.lit("<html><style>p{}</style><body>"), lines, F.lit("<script>var a='<p>';</script></body></html>")), "utf-8")
-    return rows.select("record_id", F.md5(F.replace(extracted(page, F.lit("page.html")), F.lit("\n"), F.lit("|"))).alias("h"))
-
-
-def _html(s, d):
-    return _page_hashes(docs(s, d).filter("source_type = 'note'").filter(~col("content").rlike("[<>&\\r]")), col("content"))
-
-
-def _html_pages(s, d):
-    """All documents as pages, markup and entities escaped; SQL cannot follow the parser there."""
+@query("s06_html_pages")
+def html_pages(s, d):
+    """All documents as pages, markup, entities and line ends included; SQL cannot follow the parser there."""
     escaped = F.replace(F.replace(F.replace(col("content"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return _page_hashes(docs(s, d), escaped)
-
-
-def _feed(s, d):
-    g = gmail(s, d)
-    url = lambda df: df.select("message_id", F.concat(F.lit("https://www.mail.test/"), "message_id", F.lit("/?utm_source=x#top")).alias("url"))
-    return M.new_feed_items(url(g), url(g.filter(F.array_contains("label_ids", "SENT"))).select("url")).select(col("message_id").alias("id"))
+    lines = F.array_join(F.transform(F.split(escaped, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    page = F.encode(F.concat(F.lit("<html><style>p{}</style><body>"), lines, F.lit("<script>var a='<p>';</script></body></html>")), "utf-8")
+    return docs(s, d).select("record_id", F.md5(F.replace(extracted(page, F.lit("page.html")), F.lit("\n"), F.lit("|"))).alias("h"))

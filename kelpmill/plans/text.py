@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kelpmill.functions import redact
 from kelpmill.functions import text as X
 from kelpmill.operators import chunking as C
-from kelpmill.plans.analytics import AUTH, T, calls, docs, events, gmail, orders, sms
+from kelpmill.plans.analytics import T, calls, docs, events, sms
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,28 +33,18 @@ query("f07_query", "SELECT event_id, lower(trim('  Q ' || event_type || '  ', '
 query("f08_split", "SELECT event_id, CASE WHEN ('0x' || substr(md5('sbfeedback:v1:' || lower(trim(event_type || user_id, ' '))), 1, 8))::BIGINT % 100 < 70 THEN 'train' ELSE 'holdout' END AS part FROM events")(lambda s, d: events(s, d).select("event_id", X.split_of(F.concat("event_type", col("user_id").cast("string"))).alias("part")))
 query("f09_query_hash", "SELECT event_id, substr(md5(lower(trim(event_type, ' '))), 1, 8) AS h FROM events")(lambda s, d: events(s, d).select("event_id", X.query_hash(col("event_type")).alias("h")))
 query("f10_short_hash", "SELECT record_id, substr(sha256(address), 1, 16) AS a, substr(sha256(coalesce(body, '')), 1, 8) AS b FROM ingest_sms")(lambda s, d: sms(s, d).select("record_id", X.short_hash(col("address")).alias("a"), X.short_hash(F.coalesce("body", F.lit("")), 8).alias("b")))
-query("f12_identity", "SELECT record_id, 'action:' || substr(sha256(source_type || '|' || source_id), 1, 16) AS k FROM brain_documents")(lambda s, d: docs(s, d).select("record_id", X.identity_key(col("source_type"), col("source_id")).alias("k")))
-query("f13_thread_key", "SELECT message_id, 'gmail:' || thread_id AS k FROM gmail_messages")(lambda s, d: gmail(s, d).select("message_id", F.concat(F.lit("gmail:"), "thread_id").alias("k")))
-query("f14_counterpart", "SELECT message_id, lower(regexp_extract(from_header, '<([^<>]+)>', 1)) AS address, trim(regexp_replace(from_header, '\\s*<[^<>]*>', '', 'g')) AS display FROM gmail_messages")(lambda s, d: gmail(s, d).select("message_id", F.lower(F.regexp_extract("from_header", "<([^<>]+)>", 1)).alias("address"), F.trim(F.regexp_replace("from_header", r"\s*<[^<>]*>", "")).alias("display")))
-query("f15_awaiting", "SELECT message_id, substr(coalesce(regexp_extract(from_header, '^([^<]*[^< ])', 1), '') || ' · mail \"' || coalesce(subject, '') || '\"', 1, 80) AS summary FROM gmail_messages")(lambda s, d: gmail(s, d).select("message_id", F.substring(F.concat(F.coalesce(F.regexp_extract("from_header", "^([^<]*[^< ])", 1), F.lit("")), F.lit(' · mail "'), F.coalesce("subject", F.lit("")), F.lit('"')), 1, 80).alias("summary")))
-query("f16_outbound", "SELECT record_id, msg_type IN (2, 4) AS outbound FROM ingest_sms")(lambda s, d: sms(s, d).select("record_id", col("msg_type").isin(2, 4).alias("outbound")))
 query("f17_sanitized", "SELECT record_id, md5(regexp_replace(content, '\\n{3,}', chr(10) || chr(10), 'g')) AS h FROM brain_documents")(lambda s, d: docs(s, d).select("record_id", F.md5(X.sanitized(col("content"))).alias("h")))
-query("f18_byte_cut", "SELECT record_id, strlen(content) > 2000 AS cut FROM brain_documents")(lambda s, d: docs(s, d).select("record_id", (F.octet_length("content") > 2000).alias("cut")))
 query("f19_tags", "SELECT record_id, md5(regexp_replace('<p>' || content || '<br', '<[^>]*(>|\\z)|>', '', 'g')) AS h FROM brain_documents WHERE content IS NOT NULL")(lambda s, d: docs(s, d).filter("content IS NOT NULL").select("record_id", F.md5(X.stripped_tags(F.concat(F.lit("<p>"), "content", F.lit("<br")))).alias("h")))
-query("f20_base64url", "SELECT record_id, substr(title, 1, 20) AS t FROM brain_documents WHERE title IS NOT NULL")(lambda s, d: docs(s, d).filter("title IS NOT NULL").select("record_id", F.decode(X.base64url(F.regexp_replace(F.translate(F.base64(F.encode(F.substring("title", 1, 20), "utf-8")), "+/", "-_"), "=+$", "")), "utf-8").alias("t")))
-query("f21_shortened", "SELECT record_id, CASE WHEN length(title) > 12 THEN substr(title, 1, 11) || '…' ELSE title END AS t FROM brain_documents")(lambda s, d: docs(s, d).select("record_id", X.shortened(col("title"), 12).alias("t")))
-query("f24_codes", f"SELECT record_id, md5(CASE WHEN {AUTH.format('body')} THEN regexp_replace(body, '\\b[0-9]{{4,8}}\\b', '[CODE]', 'g') ELSE body END) AS h FROM ingest_sms WHERE body IS NOT NULL")(lambda s, d: sms(s, d).filter("body IS NOT NULL").select("record_id", F.md5(X.codes_hidden(col("body"))).alias("h")))
 query("f25_direction", "SELECT record_id, CASE msg_type WHEN 1 THEN 'received' WHEN 2 THEN 'sent' WHEN 3 THEN 'draft' WHEN 4 THEN 'outbox' WHEN 5 THEN 'failed' WHEN 6 THEN 'queued' ELSE 'unknown' END AS direction FROM ingest_sms")(lambda s, d: sms(s, d).select("record_id", X.direction(col("msg_type")).alias("direction")))
 query("f25_call_kind", "SELECT record_id, CASE call_type WHEN 1 THEN 'incoming' WHEN 2 THEN 'outgoing' WHEN 3 THEN 'missed' WHEN 4 THEN 'voicemail' WHEN 5 THEN 'rejected' WHEN 6 THEN 'blocked' ELSE 'unknown' END AS kind FROM ingest_calls")(lambda s, d: calls(s, d).select("record_id", X.call_kind(col("call_type")).alias("kind")))
 query("f33_local_week", "SELECT event_id, (date_trunc('week', ts + INTERVAL 9 HOUR) - INTERVAL 9 HOUR)::TIMESTAMP AS begins, (date_trunc('week', ts + INTERVAL 9 HOUR) + INTERVAL 7 DAY - INTERVAL 9 HOUR)::TIMESTAMP AS ends FROM events")(lambda s, d: events(s, d).select("event_id", *[c.cast("timestamp_ntz").alias(n) for c, n in zip(X.local_range(col("ts").cast("timestamp"), "week"), ("begins", "ends"))]))
 query("f35_day_difference", "SELECT batch_id, date_diff('day', (started_at AT TIME ZONE 'UTC' + INTERVAL 9 HOUR)::DATE, (finished_at AT TIME ZONE 'UTC' + INTERVAL 9 HOUR)::DATE)::INT AS days FROM collection_log")(lambda s, d: T("collection_log")(s, d).select("batch_id", F.datediff(X.local_day(col("finished_at")), X.local_day(col("started_at"))).alias("days")))
 query("f37_layouts", "SELECT event_id, coalesce(try_strptime(t, '%Y-%m-%d %H:%M:%S'), try_strptime(t, '%Y-%m-%d')) AS ts FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%d') ELSE 'soon' END AS t FROM events)")(lambda s, d: events(s, d).select("event_id", F.when(col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise("soon").alias("t")).select("event_id", X.parsed_time(col("t")).cast("timestamp_ntz").alias("ts")))
 query("f39_epoch", "SELECT record_id, make_timestamp(date_ms * 1000) AS at FROM ingest_sms")(lambda s, d: sms(s, d).select("record_id", F.timestamp_millis("date_ms").cast("timestamp_ntz").alias("at")))
-query("f40_backoff", "SELECT n, CASE WHEN n <= 1 THEN 5.0 ELSE least(60.0, pow(2.0, n - 1)) END AS minutes, n + 1 >= 10 AS dead FROM range(15) t(n)")(lambda s, d: s.range(15).select(col("id").alias("n"), X.backoff_minutes(col("id")).alias("minutes"), X.dead_letter(col("id")).alias("dead")))
+query("f40_backoff", "SELECT n, CASE WHEN n <= 1 THEN 5.0 ELSE least(60.0, pow(2.0, n - 1)) END AS minutes, n >= 10 AS dead FROM range(15) t(n)")(lambda s, d: s.range(15).select(col("id").alias("n"), X.backoff_minutes(col("id")).alias("minutes"), X.dead_letter(col("id")).alias("dead")))
 query("f42_split_part", "SELECT record_id, split_part(source_id, ':', 2) AS part, regexp_matches(source_id, '^sms:[0-9]+') AS sms FROM brain_documents")(lambda s, d: docs(s, d).select("record_id", F.split_part("source_id", F.lit(":"), F.lit(2)).alias("part"), col("source_id").rlike("^sms:[0-9]+").alias("sms")))
 query("f48_ratio", "SELECT source_type, count(*) FILTER (status = 'deleted') / count(*) > 0.5 AS too_many FROM brain_documents GROUP BY 1")(lambda s, d: docs(s, d).groupBy("source_type").agg((F.count_if(col("status") == "deleted") / F.count(F.lit(1)) > 0.5).alias("too_many")))
 query("c01_chunker")(lambda s, d: C.chunked(docs(s, d).filter("status = 'active'").select("id", "source_type", "content")))
-query("c06_sizes", "SELECT source_type, CASE WHEN source_type IN ('slack', 'discord', 'telegram') THEN 1500 WHEN source_type IN ('secretary', 'llm-memory') THEN 2500 ELSE 4000 END AS longest FROM (SELECT DISTINCT source_type FROM brain_documents)")(lambda s, d: docs(s, d).select("source_type").distinct().select("source_type", F.when(col("source_type").isin("slack", "discord", "telegram"), C.CHAT[1]).when(col("source_type").isin("secretary", "llm-memory"), C.MEMORY[1]).otherwise(C.LONG[1]).alias("longest")))
 query("f23_redacted")(lambda s, d: sms(s, d).filter("body IS NOT NULL").select("record_id", redact.redacted(col("body")).alias("body")))
 
 

@@ -72,10 +72,18 @@ def pptx_text(data: bytes) -> str:
 
 
 def hwpx_text(data: bytes) -> str:
-    """Sections in numeric order."""
+    """Sections in numeric order, broken ones left out; a file without any is broken."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        found = [(int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"Contents/section(\d+)\.xml", n))]
-        return "\n".join(_paragraphs(z.read(n)) for _, n in sorted(found))
+        found = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"Contents/section(\d+)\.xml", n)))
+        if not found:
+            raise KeyError("Contents")
+        texts = []
+        for _, name in found:
+            try:
+                texts.append(_paragraphs(z.read(name)))
+            except ElementTree.ParseError:
+                continue
+        return "\n".join(t for t in texts if t)
 
 
 def xlsx_text(data: bytes) -> str:

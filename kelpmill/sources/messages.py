@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpmill.functions import text as X
+from kelpmill.sources.files import audio_fault
 
 OUT = ("source_type", "source_id", "title", "content", "metadata", "occurred_at")
 SMS_XML = {"address": ("_address", "string"), "body": ("_body", "string"), "date_ms": ("_date", "bigint"), "msg_type": ("_type", "int"), "contact_name": ("_contact_name", "string")}
@@ -21,7 +22,7 @@ def _doc(rows: DataFrame, kind: str, id_: Column, title: Column, content: Column
 
 def _xml(spark: SparkSession, path: str, tag: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """Attributes are read as text and cast leniently: a malformed element or value becomes null, not an error."""
-    raw = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").schema(", ".join(f"{a} string" for a, _ in fields.values())).load(path)
+    raw = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("ignoreSurroundingSpaces", "false").schema(", ".join(f"{a} string" for a, _ in fields.values())).load(path)
     return raw.select(*[F.expr(f"try_cast({a} AS {t})").alias(n) for n, (a, t) in fields.items()]).filter("date_ms IS NOT NULL")
 
 
@@ -35,20 +36,62 @@ def calls_xml(spark: SparkSession, path: str) -> DataFrame:
     return _xml(spark, path, "call", CALL_XML)
 
 
-def map_sms(sms: DataFrame) -> DataFrame:
-    """Id of time, hash of the digits and direction; one-time codes hidden."""
-    way = X.direction(F.col("msg_type"))
-    key = F.concat(F.lit("sms:"), F.col("date_ms").cast("string"), F.lit(":"), X.short_hash(F.regexp_replace("address", "[^0-9A-Za-z+]", "")), F.lit(":"), way)
-    title = F.concat(F.lit("SMS "), F.coalesce("contact_name", "address"))
-    return _doc(sms, "sms", key, title, X.codes_hidden(F.col("body")), {"contact": F.col("contact_name"), "address": F.col("address"), "direction": way}, F.timestamp_millis("date_ms"))
-
-
-def map_calls(calls: DataFrame) -> DataFrame:
-    """S23."""
-    kind = X.call_kind(F.col("call_type"))
-    key = F.concat(F.lit("call:"), F.col("date_ms").cast("string"), F.lit(":"), X.short_hash(F.coalesce("number", F.lit(""))))
-    content = F.concat_ws("\n", F.concat(F.lit("Direction: "), kind), F.concat(F.lit("Duration: "), F.col("duration_sec").cast("string"), F.lit("s")), F.concat(F.lit("Number: "), F.col("number")))
-    return _doc(calls, "call-log", key, F.concat(F.lit("Call "), F.coalesce("contact_name", "number", F.lit("unknown"))), content, {"contact": F.col("contact_name"), "direction": kind}, F.timestamp_millis("date_ms"))
+def map_sms(sms: DataFrame, hashed_numbers: bool = False) -> DataFrame:
+    """Id of time, hash of the address and direction; one-time codes hidden. The address itself stands in the
+    metadata only if numbers need not be hashed."""
+    way, auth = X.direction(F.col("msg_type")), X.auth_like(F.col("body"))
+    address = F.coalesce("address", F.lit(""))
+    key = F.concat(F.lit("sms:"), F.col("date_ms").cast("string"), F.lit(":"), X.short_hash(address), F.lit(":"), way)
+    title = F.concat(F.lit("SMS "), way, F.lit(" "), F.coalesce(F.nullif("contact_name", F.lit("")), address))
+    meta = {"contact_name": F.coalesce("contact_name", F.lit("")), "direction": way, "is_auth_like": auth} | ({} if hashed_numbers else {"number": address})
+    return _doc(sms, "sms", key, title, X.codes_hidden(F.coalesce("body", F.lit(""))), meta, F.timestamp_millis("date_ms"))
+
+
+def map_calls(calls: DataFrame, hashed_numbers: bool = False) -> DataFrame:
+    """Id of time and the hashes of number and duration; an unnamed caller shows by number, or by its hash if
+    numbers are to be hashed."""
+    way, number = X.call_kind(F.col("call_type")), F.coalesce("number", F.lit(""))
+    length = F.coalesce("duration_sec", F.lit(0))
+    key = F.concat(F.lit("call-log:"), F.col("date_ms").cast("string"), F.lit(":"), X.short_hash(number), F.lit(":"), X.short_hash(length.cast("string"), 8))
+    unnamed = F.concat(F.lit("상대 "), X.short_hash(number, 8)) if hashed_numbers else number
+    who = F.coalesce(F.nullif("contact_name", F.lit("")), unnamed)
+    at = F.timestamp_millis("date_ms")
+    time = F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd HH:mm:ss 'UTC'")
+    content = F.concat(F.lit("상대방: "), who, F.lit("\n통화 방향: "), way, F.lit("\n시각: "), time, F.lit("\n통화 시간: "), length.cast("string"), F.lit("s"))
+    meta = {"contact_name": F.coalesce("contact_name", F.lit("")), "direction": way, "duration_seconds": length} | ({} if hashed_numbers else {"number": number})
+    return _doc(calls, "call-log", key, F.concat(way, F.lit(" 통화 "), who), content, meta, at)
+
+
+def recording_outcome(kind: Column, number: Column, date_ms: Column, cutover_ms: int, name: Column, data: Column) -> Column:
+    """Why a pushed recording is refused, 'skipped' if it is older than the cutover, or 'accepted'."""
+    memo = F.coalesce(F.nullif(kind, F.lit("")), F.lit("call"))
+    audio = audio_fault(name, data)
+    return (
+        F.when(~memo.isin("call", "voice-memo"), "unknown kind")
+        .when((memo == "call") & (F.coalesce(number, F.lit("")) == ""), "number is required")
+        .when(F.coalesce(date_ms, F.lit(0)) == 0, "date is required")
+        .when(date_ms < cutover_ms, "skipped")
+        .when(data.isNull(), "file is required")
+        .when(audio.isNotNull(), audio)
+        .otherwise("accepted")
+    )
+
+
+def map_recordings(pushed: DataFrame, hashed_numbers: bool = False, zone: str = "UTC") -> DataFrame:
+    """(source_id, file_name) of pushed recordings. pushed: kind, number, date_ms, duration_sec, file_name.
+
+    A call is known by time and the hashes of number and duration, a memo by the hash of its file name, or of its
+    time where it has none."""
+    memo, given = F.col("kind") == "voice-memo", F.coalesce("file_name", F.lit(""))
+    number, length = F.coalesce("number", F.lit("")), F.coalesce("duration_sec", F.lit(0)).cast("string")
+    day = F.date_format(F.from_utc_timestamp(F.to_utc_timestamp(F.timestamp_millis("date_ms"), F.current_timezone()), zone), "yyyyMMddHHmmss")
+    ending = F.coalesce(F.nullif(F.regexp_extract(given, r"(\.[^./\\]*)$", 1), F.lit("")), F.lit(".m4a"))
+    hashed = X.short_hash(F.when(given != "", given).otherwise(F.col("date_ms").cast("string")), 8)
+    base = F.coalesce(F.nullif(X.safe_file_name(F.regexp_replace(given, r"\.[^./\\]*$", "")), F.lit("")), hashed)
+    memo_file = F.concat(F.lit("voice-memo_"), day, F.when(given != "", F.concat(F.lit("_"), base)).otherwise(""), ending)
+    call_file = F.concat(X.short_hash(number) if hashed_numbers else X.safe_number(number), F.lit("_"), day, ending)
+    call_id = F.concat(F.lit("call-log:"), F.col("date_ms").cast("string"), F.lit(":"), X.short_hash(number), F.lit(":"), X.short_hash(length, 8))
+    return pushed.select(F.when(memo, F.concat(F.lit("call-log:voice-memo:"), hashed)).otherwise(call_id).alias("source_id"), F.when(memo, memo_file).otherwise(call_file).alias("file_name"))
 
 
 def map_gmail(messages: DataFrame) -> DataFrame:
@@ -132,9 +175,44 @@ def new_feed_items(items: DataFrame, seen: DataFrame) -> DataFrame:
     return key(items).dropDuplicates(["_u"]).join(key(seen).select("_u").distinct(), "_u", "left_anti").drop("_u")
 
 
-def valid_note(title: Column, content: Column) -> Column:
-    """S29."""
-    return (F.length(F.trim(F.coalesce(content, F.lit("")))) > 0) & (F.length(F.coalesce(title, F.lit(""))) <= 300)
+MOST_TITLE_BYTES, MOST_NOTE_BYTES = 1024, 10 * 1024 * 1024  # fixed values
+
+
+def note_fault(title: Column, content: Column, title_required: bool = True) -> Column:
+    """Why a note can't be saved, or null."""
+    blank = lambda c: F.coalesce(c, F.lit("")).rlike(r"(?U)^\s*$")
+    no_title = blank(title) if title_required else F.lit(False)
+    return (
+        F.when(no_title, "title is required")
+        .when(F.octet_length(F.coalesce(title, F.lit(""))) > MOST_TITLE_BYTES, "title is too long")
+        .when(blank(content), "content is required")
+        .when(F.octet_length(content) > MOST_NOTE_BYTES, "content is too long")
+    )
+
+
+def judged_items(items: DataFrame, service, batch: int = 25) -> DataFrame:
+    """Feed items judged by a service in batches; (id, verdict) of the items it answers for.
+
+    items: id int, title, url. service takes a list of {id, title, url} and gives a list of objects with an id and
+    whatever else it finds; ids that were not asked for fall away, a batch that fails gives no rows and harms no other.
+    """
+    import json
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            for lo in range(0, len(pdf), batch):
+                part = pdf.iloc[lo : lo + batch]
+                try:
+                    answers = service(part.to_dict("records"))
+                except Exception:  # noqa: BLE001 - a service may fail in any way
+                    continue
+                asked = set(part["id"])
+                good = [a for a in answers if a.get("id") in asked]
+                yield pd.DataFrame({"id": [a["id"] for a in good], "verdict": [json.dumps(a, ensure_ascii=False, sort_keys=True) for a in good]})
+
+    return items.select(F.col("id").cast("int").alias("id"), "title", "url").mapInPandas(run, "id int, verdict string")
 
 
 def write_eval_pairs(pairs: DataFrame, path: str) -> None:
@@ -146,3 +224,19 @@ def write_graph(edges: DataFrame, mentions: DataFrame, path: str) -> None:
     """Full projection: relations by type, mentions once each."""
     edges.dropDuplicates(["from_id", "to_id", "type"]).write.mode("overwrite").partitionBy("type").parquet(f"{path}/relations")
     mentions.dropDuplicates(["document_id", "entity_id"]).write.mode("overwrite").parquet(f"{path}/mentions")
+
+
+def project_graph(edges: DataFrame, mentions: DataFrame, path: str, token: str) -> None:
+    """Another token than that of the last projection wipes it and writes everything anew; the same token writes
+    over it. The token stands beside the data and is written last, so a projection that broke off is made again."""
+    spark = edges.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = folder(f"{path}/token")
+    before = spark.read.text(f"{path}/token").first()[0] if fs.exists(mark) else None
+    if before != token:
+        fs.delete(folder(path), True)
+    write_graph(edges, mentions, path)
+    out = fs.create(mark, True)
+    out.write(bytearray(token.encode()))
+    out.close()

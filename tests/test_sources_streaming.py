@@ -39,19 +39,25 @@ def test_extractors():
 
 
 def test_file_scan(spark, tmp_path):
-    for rel, text in (("a.md", "hello"), ("sub/b.txt", "x"), (".git/c.txt", "no"), ("d.png", "no")):
+    for rel, text in (("a.md", "hello"), ("sub/b.txt", "x"), (".git/c.txt", "no"), ("d.png", "no"), ("e.lock", "no"), ("f.gdoc", '{"u": "https://x.test/d/1"}'), ("h.tar", "x" * 2048)):
         p = tmp_path / rel
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
     files = S.scan(spark, str(tmp_path))
-    assert {(r.source_id, r.content) for r in S.documents(files).collect()} == {("a.md", "hello"), ("sub/b.txt", "x")}
+    assert {(r.source_id, r.content) for r in S.documents(files).collect()} == {
+        ("a.md", "hello"), ("sub/b.txt", "x"), ("d.png", "Image: d.png\nPath: d.png\nSize: 2 B"), ("f.gdoc", "Google Doc: f.gdoc\nPath: f.gdoc\nURL: https://x.test/d/1"),
+        ("h.tar", "Archive: h.tar\nPath: h.tar\nSize: 2 KB"),
+    }
+    faults = spark.createDataFrame([("a.M4A", b"0000ftypx"), ("a.m4a", b"00000000"), ("a.mp3", b"00000000"), ("a.mp3", b"0"), ("a.mp3", None)], "n string, d binary").select(S.audio_fault(F.col("n"), F.col("d")))
+    assert [r[0] for r in faults.collect()] == [None, "no m4a file", None, "too short", "too short"]
     known = spark.createDataFrame([("a.md",)], "source_id string")
-    assert [r.source_id for r in S.incremental(files, F.lit(datetime(2999, 1, 1)), known).collect()] == ["sub/b.txt"]
+    assert "a.md" not in {r.source_id for r in S.incremental(files, F.lit(datetime(2999, 1, 1)), known).collect()}
+    assert S.untranscribed(files, None, known).count() == files.count() - 1 and S.untranscribed(files, F.lit(datetime(2999, 1, 1)), None).count() == 0
     assert S.latest_by_prefix(files, "a").first()[0] == "a.md"
     kinds = spark.createDataFrame([(bytearray(b"RIFF0000WAVEfmt "),), (bytearray(b"ID3abc"),), (bytearray(b"text"),)], "d binary").select(S.audio_kind(F.col("d")))
     assert [r[0] for r in kinds.collect()] == ["wav", "mp3", None]
-    at = spark.createDataFrame([("call_20250601_120000.m4a",), ("x.m4a",)], "n string").select(S.recorded_at(F.col("n"), F.lit(datetime(2020, 1, 1))))
-    assert [r[0] for r in at.collect()] == [datetime(2025, 6, 1, 12), datetime(2020, 1, 1)]
+    at = spark.createDataFrame([("a_20250601120000-2.m4a",), ("Voice_250601_120000.m4a",), ("call_20250601_120000.m4a",), ("a_20251399999999.m4a",), ("x.m4a",)], "n string").select(S.recorded_at(F.col("n"), F.lit(datetime(2020, 1, 1))))
+    assert [r[0] for r in at.collect()] == [datetime(2025, 6, 1, 12)] * 2 + [datetime(2020, 1, 1)] * 3
 
 
 def test_sms_xml(spark, tmp_path):
@@ -86,6 +92,21 @@ def test_snapshot_is_applied_once(spark, tmp_path):
     assert {tuple(r) for r in snap.read().collect()} == {("a", 2, 2), ("b", 1, 1), ("c", 3, 1)}
 
 
+def test_snapshot_rewrites_only_touched_buckets(spark, tmp_path):
+    snap = G.Snapshot(spark, str(tmp_path / "s"), "k long, v long", buckets=4)
+    rows = lambda lo, hi, v: spark.range(lo, hi).selectExpr("id AS k", f"CAST({v} AS LONG) AS v")
+    assert snap.merge(rows(0, 100, 1), ["k"], "s", 0) and not snap.merge(rows(0, 100, 9), ["k"], "s", 0)
+    first = snap._pointer()["of"]
+    snap.merge(rows(7, 8, 2), ["k"], "s", 1)
+    second = snap._pointer()["of"]
+    assert sum(first[b] != second[b] for b in first) == 1
+    for n in range(2, 5):
+        snap.merge(rows(7, 8, n), ["k"], "s", n)
+    assert {(r.k, r.v) for r in snap.read().collect()} == {(k, 4 if k == 7 else 1) for k in range(100)}
+    assert len([p for p in (tmp_path / "s").iterdir() if p.is_dir()]) <= 3  # old versions are removed
+    assert snap.write(rows(0, 3, 5), "s", 5) and snap.read().count() == 3
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     spark.range(100).selectExpr("id % 40 AS k", "timestamp_seconds(id) AS ts", "id").coalesce(1).write.parquet(str(src))
