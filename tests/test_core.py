@@ -56,8 +56,9 @@ def test_repeats(spark):
 
 
 def test_repeats_with_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "a", "x", 0, 1), (2, "a", "x", 0, 2), (3, None, "x", 0, 3)], "record_id long, source_type string, source_id string, cell long, h long")
-    assert [r.record_id for r in R.repeats(R.document_identity(df), ["source_type", "source_id"], "bucket", "record_id").collect()] == [2]
+    df = spark.createDataFrame([(1, "a", "x", datetime(2025, 1, 1), 1), (2, "a", "x", datetime(2025, 6, 1), 2), (3, None, "x", None, 3), (4, "a", "y", None, 3), (5, "a", "y", datetime(2025, 6, 1), 3)], "record_id long, source_type string, source_id string, collected_at timestamp, h long").withColumn("cell", F.lit(1)).withColumn("shard", F.lit(1))
+    got = R.repeats(R.document_identity(df), ["source_type", "source_id"], "bucket", "record_id", joined=True)  # copies in different buckets
+    assert sorted(r.record_id for r in got.collect()) == [2, 5]
 
 
 def test_hot_message_and_many_cells(spark):
@@ -67,13 +68,23 @@ def test_hot_message_and_many_cells(spark):
     assert kept.count() == 40_000
 
 
+def test_many_days_and_a_crowded_one(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS_PER_CELL", 500)
+    rows = spark.range(4000).select(F.col("id").alias("record_id"), F.when(F.col("id") < 2000, F.col("id") % 1500).otherwise((F.col("id") % 1900) * 86_400_000 + 5).alias("date_ms"), F.lit(1).alias("msg_type"), F.lit("x").alias("address"))
+    want = rows.count() - rows.select("date_ms").distinct().count()
+    assert R.repeats(R.sms_identity(rows), ["date_ms", "msg_type", "number"], "bucket", "record_id").count() == want
+
+
 def test_saturating_filter_has_no_misses():
     import numpy as np
 
     h = np.arange(1, 5001, dtype=np.int64) * 7919
     seen, again = np.zeros(R.SLOTS, bool), np.zeros(R.SLOTS, bool)
-    R._add(seen, again, h)
-    R._add(seen, again, h[:50])
+    for part in (h, h[:50]):
+        once, more = R._marked(part)
+        again[once[seen[once]]] = True
+        again[more] = True
+        seen[once] = seen[more] = True
     assert again[R._slots(h[:50])].all()
     assert again[R._slots(h[50:])].all(axis=1).mean() < 0.01
 
