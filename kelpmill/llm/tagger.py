@@ -74,19 +74,16 @@ def emissions(p: dict, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def viterbi(e: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Best tags (B, T) of emissions (T, B, K) with transitions a."""
+    """Best tags (B, T) of emissions (T, B, K) with transitions a; the way back is found on the path alone."""
     t, b, k = e.shape
-    score, back = e[0], np.empty((t, b, k), np.int8)
-    at = np.ascontiguousarray(a.T)
+    e = np.ascontiguousarray(e.transpose(0, 2, 1))
+    scores, step = e.copy(), a[:, :, None]
     for i in range(1, t):
-        s = score[:, None, :] + at[None]
-        back[i] = s.argmax(axis=2)
-        score = s.max(axis=2) + e[i]
+        scores[i] += (scores[i - 1][:, None, :] + step).max(axis=0)
     tags = np.empty((b, t), np.int8)
-    tags[:, -1] = score.argmax(axis=1)
-    rows = np.arange(b)
+    tags[:, -1] = scores[-1].argmax(axis=0)
     for i in range(t - 1, 0, -1):
-        tags[:, i - 1] = back[i, rows, tags[:, i]]
+        tags[:, i - 1] = (scores[i - 1] + a[:, tags[:, i]]).argmax(axis=0)
     return tags
 
 

@@ -2,7 +2,7 @@
 
 Spans of the sample are labelled by the patterns of their kind and by names that stand in mail headers and contact
 names; in a third of the windows names are exchanged for invented ones, so that the network learns places and shapes
-and not a list. At most DOCUMENTS texts and MESSAGES messages are read, in hash order.
+and not a list, and in a tenth they are written in lower case. At most DOCUMENTS texts and MESSAGES messages are read, in hash order.
 """
 
 from __future__ import annotations
@@ -126,9 +126,13 @@ def main(sf_dir: str, minutes: float = 3.0, go_on: float = 0.0) -> None:
         for s, e, k in found:
             y[s:e] = 2 * k + 2
             y[s] = 2 * k + 1
-        for s, e, *_ in P.windows(t, screen):
+        for s, e, *_ in (w for region in P.screened(t, screen) for w in P.windows(*region)):
             text, tags = t[s:e], y[s:e]
-            if rng.random() < 0.33:  # other names
+            if rng.random() < 0.1:  # names as hasty writers leave them
+                for a, b, k in found:
+                    if k == 4 and a >= s and b <= e and len(small := text[a - s : b - s].lower()) == b - a:
+                        text = text[: a - s] + small + text[b - s :]
+            elif rng.random() < 0.33:  # other names
                 for a, b, k in reversed([f for f in found if f[0] >= s and f[1] <= e and f[2] == 4]):
                     new = re.sub(r"[^\W\d_]{2,}", lambda m: invented(rng, m[0]), t[a:b])
                     text = text[: a - s] + new + text[b - s :]

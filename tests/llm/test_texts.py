@@ -162,13 +162,38 @@ def test_no_neighbour_hides_an_unknown_word():
         assert any(s <= at < e for s, e in personal.screened(text, screen)), text
 
 
-def test_windows_cover_and_reconcile():
-    screen = personal.Screen(frozenset(["the"]))
-    text = "the " * 30 + "Xyz " * 100 + "the " * 30
-    w = personal.windows(text, screen)
-    assert all(e - s <= personal.WINDOW and s <= f <= z <= e for s, e, f, z in w)
-    covered = sorted((f, z) for _, _, f, z in w)
-    assert all(a[1] == b[0] for a, b in zip(covered, covered[1:])) and covered[0][0] <= 120 and covered[-1][1] >= 520
+def test_windows_cover_a_region_once():
+    for n in (1, 96, 97, 152, 153, 400, 1001):
+        w = personal.windows(7, 7 + n)
+        assert all(e - s <= personal.WINDOW and s <= f <= z <= e for s, e, f, z in w)
+        assert [w[0][2], *[z for *_, z in w]] == [*[f for _, _, f, _ in w], 7 + n]
+
+
+def test_joint_decoding_is_the_viterbi_path_of_the_whole_region():
+    p, screen = personal.load()
+    texts = ["please ask flora linquist to call 010-0001-0003 before " * 6, "Orla Drenthrell, 64 Quenby Road. " * 9]
+    regions = [tagger.encode(t) for t in texts]
+    parts = [[(tagger.encode(t[a:b]), f - a, z - a) for a, b, f, z in personal.windows(0, len(t))] for t in texts]
+    e = [np.concatenate([personal._scored(p, [c.tobytes()])[0][f:z] for c, f, z in part]) for part in parts]
+    ends = np.cumsum([len(r) for r in regions])
+    tags = personal._decoded(p, np.concatenate(e), ends)
+    for one, hi in zip(e, ends):
+        assert tags[hi - len(one) : hi].tolist() == tagger.viterbi(one[:, None, :], p["A"])[0].tolist()
+
+
+def test_names_in_lower_case():
+    """They open windows, and the network finds most, not all of them."""
+    p, screen = personal.load()
+    said = ["ask {}, please", "Mit {} gesprochen und notiert.", "Thanks, {}", "> {} wrote on Monday:", "Please write to {} about it.", "{} will bring the list."]
+    names = ["tovin norfenko", "flora linquist", "orla drenthrell", "mira norfenko"]
+    hits = 0
+    for t in said:
+        for n in names:
+            text = t.format(n)
+            at = text.index(n)
+            assert any(s <= at and at + len(n) <= e for s, e in personal.screened(text, screen))
+            hits += any(s <= at < e and k == "person_name" for s, e, k in personal.tag_batch(p, [text], screen)[0])
+    assert hits >= 0.7 * len(said) * len(names), hits
 
 
 def test_min_cost_flow():
