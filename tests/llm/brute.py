@@ -85,3 +85,37 @@ def turns(segments: list[tuple], diar: list[tuple]) -> set[tuple]:
             numbers.setdefault(speaker, len(numbers) + 1)
             out.add((r, i, turn, numbers[speaker]))
     return out
+
+
+def common_runs(x: list, y: list, least: int) -> list[tuple]:
+    """Maximal common runs (start in x, start in y, length)."""
+    out = []
+    for i in range(len(x)):
+        for j in range(len(y)):
+            if i and j and x[i - 1] == y[j - 1]:
+                continue
+            n = 0
+            while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                n += 1
+            if n >= least:
+                out.append((i, j, n))
+    return out
+
+
+def tiles(x: list, y: list, least: int) -> list[tuple]:
+    """Greedy string tiling by its definition: again and again the longest run of unmarked words, the first of equals."""
+    out, fx, fy = [], [True] * len(x), [True] * len(y)
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                n = 0
+                while i + n < len(x) and j + n < len(y) and fx[i + n] and fy[j + n] and x[i + n] == y[j + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (i, j, n)
+        if best[2] < least:
+            return out
+        i, j, n = best
+        fx[i : i + n], fy[j : j + n] = [False] * n, [False] * n
+        out.append(best)

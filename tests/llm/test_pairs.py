@@ -128,12 +128,32 @@ def test_tiles_cover_reordered_passages(monkeypatch, spark):
     assert sorted(leaks.tiles(x, y, 3)) == [(0, 5, 4), (5, 0, 4)]
     same = h(["z"] * 50)
     assert sum(n for *_, n in leaks.tiles(same, same[:20], 3)) == 20
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", 30)  # several blocks of items
+    monkeypatch.setattr(leaks, "FILTER_SEEDS", 3)  # too many seeds for a filter: documents meet them by a join
     d = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
     i = spark.createDataFrame([(k, "a b c d e f" + f" q{k}" * 20) for k in range(5)], "item_id int, item_text string")
     assert leaks.leaks(d, i, min_words=6).count() == 5
 
 
+def test_what_a_mark_leaves_of_a_run_waits_for_its_turn():
+    h = WordHashes()
+    # the run of 10 marks c d e of the run of 9 in the item; its rest a b is too short, f g h i still stands
+    x = h(words("p q r s t u v c d e, a b c d e f g h i"))
+    y = h(words("p q r s t u v c d e f g h i"))
+    assert leaks.tiles(x, y, 3) == [(0, 0, 10), (15, 10, 4)]
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x, y = (h([str(k) for k in rng.integers(0, 4, n)]) for n in rng.integers(1, 40, 2))
+        assert sorted(zip(*map(np.ndarray.tolist, leaks.runs(x, y, 3)))) == sorted(brute.common_runs(x.tolist(), y.tolist(), 3))
+        assert [n for *_, n in leaks.tiles(x, y, 3)] == [n for *_, n in brute.tiles(x.tolist(), y.tolist(), 3)]
+
+
+def test_a_word_said_a_hundred_thousand_times():
+    h = WordHashes()
+    x, y = h(["na"] * 100_000), h(["na"] * 400)
+    i, j, n = leaks.runs(x, y, 12)
+    assert len(i) <= 100_400 and n.max() == 400 and leaks.tiles(x, y, 12) == [(0, 0, 400)]
+
+
 def test_long_documents_of_one_word(spark):
     d = spark.createDataFrame([(1, "na " * 20_000)], "doc_id long, text string")
     i = spark.createDataFrame([(1, "na " * 30)], "item_id int, item_text string")
