@@ -4,11 +4,12 @@ A hash is a fast pseudo-rotation (three rounds of random signs and a Hadamard tr
 the rotated unit vector, of 2 d. A table uses `depth` rotations together; a vector is put into its own cell and is
 also looked up in cells whose last axis is the next best (multiprobe). Within a cell, vectors are compared exactly,
 block by block on packed copies, and of each vector only its k best (within MARGIN) are passed on; pairs found in any
-table are reranked by their exact similarity. Depth follows the number of vectors, so that cells keep their mean size at
-every scale; two vectors meet more seldom in deeper cells, so each rotation beyond two comes with FACTOR times the tables.
+table are reranked by their exact similarity. Cells keep their mean size at every number of vectors: rotations are added,
+and of the last one only as many coordinates are looked at as are needed. Two vectors meet more seldom in finer cells, so
+the number of tables follows from how often pairs of the least similarity do, so that TARGET of them meet at every size.
 
-Bounds: equal vectors are hashed once and expanded at the end; a crowded cell is cut into blocks, and its pairs of
-blocks are spread over tasks, so that no task holds a whole crowded cell.
+Bounds: equal vectors are hashed once and expanded at the end; a cell crowded with rows that ask or answer is cut into a
+grid of blocks of both, whose parts are spread over tasks, so that no task holds a whole crowded cell.
 
 Cases: vectors that are null, of another length, all zero or with a value that is not finite take no part; of several
 rows of one id the one with the least order counts; ties in similarity go to the lesser id; an empty table gives no
@@ -27,9 +28,8 @@ from pyspark.sql import Window
 
 from kelpmill.session import written
 
-BLOCK = 1024
+BLOCK, ASK = 1024, 8192  # rows that answer and that ask in one part of a cell
 MARGIN = 0.01  # of similarities of packed vectors
-FACTOR = 4  # a third rotation parts pairs of similarity 0.81 so often that 3.6 times the tables let as many meet, a fourth 3.3 times
 
 
 def usable(v: Column, dim: int) -> Column:
@@ -57,9 +57,11 @@ def rotate(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, seed: int, best: int) -> np.ndarray:
-    """The `best` nearest signed axes of each row, nearest first: axis * 2 + (1 if negative)."""
-    r = rotate(x, seed)
+def axes(x: np.ndarray, seed: int, best: int, among: int | None = None) -> np.ndarray:
+    """The `best` nearest signed axes of each row, nearest first: axis * 2 + (1 if negative); of the first `among` axes."""
+    r = rotate(x, seed)[:, :among]
+    if best > r.shape[1]:  # so few axes that their far sides count too
+        return np.argsort(-np.stack([r, -r], axis=2).reshape(len(r), -1), axis=1)[:, :best]
     top = np.argsort(-np.abs(r), axis=1)[:, :best]
     return top * 2 + (np.take_along_axis(r, top, 1) < 0)
 
@@ -81,7 +83,7 @@ def _unpacked(column, dim: int) -> np.ndarray:
     return raw[:, 4:].astype(np.float32) * raw[:, :4].copy().view(np.float32)
 
 
-def _hashed(dim: int, tables: int, depth: int, probes: int):
+def _hashed(dim: int, tables: int, depth: int, among: int, probes: int):
     """Batches (vid, v) -> (vid, q: packed unit vector, cells: one per table and probe, own: the first of its table)."""
 
     def run(batches):
@@ -90,12 +92,8 @@ def _hashed(dim: int, tables: int, depth: int, probes: int):
                 continue
             x = _unit(b.column("v"), dim)
             cells = np.empty((len(x), tables, probes), np.int64)
-            base = 2 * (1 << (dim - 1).bit_length())
             for t in range(tables):
-                key = np.full(len(x), t, np.int64)
-                for k in range(depth - 1):
-                    key = key * base + axes(x, 1000 * t + k, 1)[:, 0]
-                cells[:, t, :] = key[:, None] * base + axes(x, 1000 * t + depth - 1, probes)
+                cells[:, t, :] = _codes(x, t, depth, among, probes)
             offsets = np.arange(0, len(x) * tables * probes + 1, tables * probes)
             yield pa.RecordBatch.from_arrays([b.column("vid"), pa.array(_packed(x), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cells.reshape(-1)))], names=["vid", "q", "cells"])
 
@@ -160,35 +158,73 @@ def _compare(dim: int, k: int, least: float):
     return run
 
 
-def planned(n: int, dim: int, tables: int, mean_cell: float) -> tuple[int, int]:
-    """(depth, tables) for n vectors; `tables` are those of a depth of up to two."""
-    width = 2 * (1 << (dim - 1).bit_length())
-    depth = max(1, round(math.log(max(2, n / mean_cell), width)))
-    return depth, tables * FACTOR ** max(0, depth - 2)
-
-
-def similar(df: DataFrame, id_col: str, vector_col: str, order_col: str, dim: int = 64, k: int = 5, min_similarity: float = 0.8, tables: int = 12, probes: int = 3, mean_cell: float = 6) -> DataFrame:
+LEAST_AXES = 2  # of the last rotation
+ROW_COST = 40  # comparisons that cost as much as bringing a row to a cell
+TARGET = 0.93  # share of the pairs of exactly the least similarity that are to meet in some table
+
+
+def _codes(x: np.ndarray, table: int, depth: int, among: int, probes: int) -> np.ndarray:
+    """Cells (rows, probes) of unit vectors in one table; the first is a vector's own."""
+    key = np.full(len(x), table, np.int64)
+    base = 2 * (1 << (x.shape[1] - 1).bit_length())
+    for k in range(depth - 1):
+        key = key * base + axes(x, 1000 * table + k, 1)[:, 0]
+    return key[:, None] * base + axes(x, 1000 * table + depth - 1, probes, among)
+
+
+def meeting(dim: int, similarity: float, depth: int, among: int, probes: int, pairs: int = 2000) -> float:
+    """Share of random pairs of a similarity that meet in one table, measured on `pairs` pairs in each of eight."""
+    rng = np.random.default_rng(11)
+    a, b = rng.standard_normal((2, pairs, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = similarity * a + math.sqrt(1 - similarity**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    hits = 0
+    for t in range(8):
+        x, y = (_codes(v.astype(np.float32), 500_000 + t, depth, among, probes) for v in (a, b))
+        hits += ((x[:, :1] == y).any(axis=1) | (y[:, :1] == x).any(axis=1)).sum()
+    return max(float(hits), 0.5) / (8 * pairs)
+
+
+def planned(n: int, dim: int, mean_cell: float, similarity: float, probes: int) -> tuple[int, int, int]:
+    """(rotations, axes of the last one, tables) for n vectors: as many tables as let TARGET of the pairs of the least
+    similarity meet."""
+    width = 1 << (dim - 1).bit_length()
+    cells = max(2.0 * LEAST_AXES, n / mean_cell)
+    depth = max(1, math.ceil(math.log(cells, 2 * width) - 1e-9))
+    if depth > 1 and cells / (2 * width) ** (depth - 1) < 2 * LEAST_AXES:  # nearly whole rotations
+        depth -= 1
+    among = min(width, max(LEAST_AXES, round(cells / (2 * width) ** (depth - 1) / 2)))
+    plans = []
+    for d, k in {(depth, among), (max(1, depth - 1), width)}:  # finer cells in more tables, or coarser ones in fewer
+        p = meeting(dim, similarity, d, k, probes)
+        tables = max(1, math.ceil(math.log(1 - TARGET) / math.log(1 - min(p, 0.999))))
+        plans.append((tables * (ROW_COST + n / (2 * k * (2 * width) ** (d - 1))), d, k, tables))
+    return min(plans)[1:]
+
+
+def similar(df: DataFrame, id_col: str, vector_col: str, order_col: str, dim: int = 64, k: int = 5, min_similarity: float = 0.8, probes: int = 3, mean_cell: float = 6) -> DataFrame:
     """(a, b, similarity, rank): for each usable id a, its up to k most similar ids b of at least min_similarity."""
     rows = df.filter(usable(F.col(vector_col), dim) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("v"), F.col(order_col).alias("o"))
     one = rows.groupBy("id").agg(F.min_by("v", "o").alias("v"))
     ids, _ = written(one.withColumn("vid", F.xxhash64("v")), "vectors")
     distinct = ids.groupBy("vid").agg(F.any_value("v").alias("v"), F.count(F.lit(1)).alias("copies"))
     n = ids.count()
-    depth, tables = planned(n, dim, tables, mean_cell)
-    hashed, _ = written(distinct.select("vid", "v").mapInArrow(_hashed(dim, tables, depth, probes), "vid long, q binary, cells array<long>"), "cells")
+    depth, among, tables = planned(n, dim, mean_cell, min_similarity, probes)
+    hashed, _ = written(distinct.select("vid", "v").mapInArrow(_hashed(dim, tables, depth, among, probes), "vid long, q binary, cells array<long>"), "cells")
     cells = hashed.select("vid", F.posexplode("cells").alias("at", "cell"))
     own = (F.col("at") % probes) == 0  # a vector lies in its own cell and asks in all its cells
-    crowded = cells.filter(own).groupBy("cell").count().filter(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    asked = cells.select("cell", "vid", own.alias("r")).join(F.broadcast(crowded) if crowded.count() < 100_000 else crowded, "cell", "left")
-    blocks = F.coalesce("blocks", F.lit(1))
-    block = F.pmod(F.xxhash64("vid"), blocks).cast("int")
-    # a row of block i asks in the parts (i, *) and answers in the parts (*, i)
-    parts = F.when(blocks == 1, F.array(F.struct(F.lit(0).alias("part"), F.lit(True).alias("l"), F.col("r").alias("r")))).otherwise(
-        F.concat(
-            F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct((block * blocks + j).alias("part"), F.lit(True).alias("l"), ((j == block) & F.col("r")).alias("r"))),
-            F.when(F.col("r"), F.filter(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct((j * blocks + block).alias("part"), F.lit(False).alias("l"), F.lit(True).alias("r"))), lambda x: x["part"] != block * blocks + block)).otherwise(F.array().cast("array<struct<part:int,l:boolean,r:boolean>>")),
-        )
-    )
+    cells = cells.select("cell", "vid", own.alias("r"))
+    held = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_l"), F.count_if("r").alias("_r")).filter((F.col("_l") > ASK) | (F.col("_r") > BLOCK))
+    crowded = held.select("cell", F.ceil(F.col("_l") / ASK).cast("int").alias("lb"), F.greatest(F.ceil(F.col("_r") / BLOCK), F.lit(1)).cast("int").alias("rb"))
+    asked = cells.join(crowded, "cell", "left")
+    lb, rb = F.coalesce("lb", F.lit(1)), F.coalesce("rb", F.lit(1))
+    mine = lambda blocks, salt: F.pmod(F.xxhash64("vid", F.lit(salt)), blocks).cast("int")
+    row = lambda part, l, r: F.struct(part.alias("part"), F.lit(l).alias("l"), (F.lit(True) if r is True else F.lit(False) if r is False else r).alias("r"))
+    # a crowded cell is a grid: its askers of block i ask in the parts (i, *), its owners of block j answer in (*, j)
+    asks = F.transform(F.sequence(F.lit(0), rb - 1), lambda j: row(mine(lb, 1) * rb + j, True, False))
+    answers = F.when(F.col("r"), F.transform(F.sequence(F.lit(0), lb - 1), lambda i: row(i * rb + mine(rb, 2), False, True))).otherwise(F.array().cast("array<struct<part:int,l:boolean,r:boolean>>"))
+    parts = F.when(F.col("lb").isNull(), F.array(row(F.lit(0), True, F.col("r")))).otherwise(F.concat(asks, answers))
     placed = asked.select("cell", "vid", F.inline(parts))
     shared = placed.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("_n"), F.max("r").alias("_r")).filter("_n > 1 AND _r").select("cell", "part")
     return _finish(placed, shared, hashed, ids, distinct, dim, k, min_similarity)
