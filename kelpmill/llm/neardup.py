@@ -7,9 +7,10 @@ of texts are made round by round, and a shingle drops out once its next arrival
 text (early termination). Signatures are cut into bands; texts that agree on a band are candidates; candidates are
 verified exactly on their shingle sets.
 
-Bounds: texts with equal shingle sets form one class, and only its representative goes through banding, so a group of
-copies never makes pairs. A pair must agree on a band and in the size of its shingle sets within the threshold before
-it is formed; pairs of a crowded band are formed by a join, not in one task.
+Bounds: texts with equal shingle sets form one class, named by a digest of 128 bits, and only its representative goes
+through banding, so a group of copies never makes pairs. A pair must agree on a band and in the size of its shingle sets
+within the threshold before it is formed. A band of more than BLOCK classes is cut into blocks by size of set; pairs of
+blocks whose sizes are too far apart fall away, the others are parts of their own and spread over tasks.
 
 Cases: null, empty and too short texts (fewer words than a shingle) belong to no class and no pair; very long texts
 are taken whole; repeated rows of an id count once (of different texts of one id
@@ -20,13 +21,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpmill.llm.text import WordHashes, batch, lists, mix, shingles, uniform, words
 from kelpmill.session import written
 
 _U = np.uint64
+BLOCK = 2000  # classes of a band that are compared with each other in one task
+PARTS = 16  # ranges of sizes in a crowded band
 
 
 def probminhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, m: int, seed: int = 1) -> np.ndarray:
@@ -74,9 +78,8 @@ def _shingle_sets(n_words: int, weighted: bool):
             sizes = np.array([len(s) for s in sets])
             offsets = np.r_[0, np.cumsum(sizes)]
             values = np.concatenate(sets)
-            with np.errstate(over="ignore"):
-                digest = np.array([int(mix(mix(s.view(np.uint64)).sum(keepdims=True) + _U(len(s)))[0]) for s in sets], np.uint64).view(np.int64)
-            columns = [pa.array(ids, pa.string()), lists(values, offsets), pa.array(sizes, pa.int32()), pa.array(digest)]
+            digest = [xxhash.xxh3_128_digest(s.tobytes() + (c.tobytes() if weighted else b"")) for s, c in zip(sets, counts)]
+            columns = [pa.array(ids, pa.string()), lists(values, offsets), pa.array(sizes, pa.int32()), pa.array(digest, pa.binary())]
             if weighted:
                 columns.append(lists(np.concatenate(counts).astype(np.int32), offsets))
             yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "n", "digest", "counts"][: len(columns)])
@@ -108,51 +111,102 @@ def _bands(bands: int, rows: int, weighted: bool):
     return run
 
 
-def _verified(threshold: float):
-    """Batches (a, b, sa, sb) -> (a, b, similarity) of at least the threshold."""
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted arrays of distinct values."""
+    z = np.concatenate([x, y])
+    z.sort()
+    both = int((z[1:] == z[:-1]).sum())
+    return both / (len(z) - both) if len(z) else 0.0
+
+
+def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """The similarity of weighted sets that ProbMinHash estimates: over shared d, the sum of 1 / sum over all e of
+    max(wx[e] / wx[d], wy[e] / wy[d]). By sorting on the ratio wy / wx each inner sum is two prefix sums."""
+    ids, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = np.zeros(len(ids)), np.zeros(len(ids))
+    a[where[: len(x)]], b[where[len(x) :]] = wx, wy
+    ratio = np.divide(b, a, out=np.full(len(ids), np.inf), where=a > 0)
+    order = np.argsort(ratio, kind="stable")
+    a, b, ratio = a[order], b[order], ratio[order]
+    below, above = np.r_[0, np.cumsum(a)], np.r_[np.cumsum(b[::-1])[::-1], 0]
+    shared = (a > 0) & (b > 0)
+    at = np.searchsorted(ratio, ratio[shared], "left")
+    return float((1 / (above[at] / b[shared] + below[at] / a[shared])).sum()) if shared.any() else 0.0
+
+
+def _verified(threshold: float, weighted: bool):
+    """Batches (a, b, sa, sb[, ca, cb]) -> (a, b, similarity) of at least the threshold, by whole sets."""
 
     def run(batches):
         for b in batches:
-            keep, sims = [], []
-            sa, sb = b.column("sa"), b.column("sb")
-            va, vb = sa.flatten().to_numpy(zero_copy_only=False), sb.flatten().to_numpy(zero_copy_only=False)
-            oa, ob = np.r_[0, np.cumsum(np.diff(sa.offsets.to_numpy()))], np.r_[0, np.cumsum(np.diff(sb.offsets.to_numpy()))]
+            flat = lambda k: b.column(k).flatten().to_numpy(zero_copy_only=False)
+            ends = lambda k: np.r_[0, np.cumsum(np.diff(b.column(k).offsets.to_numpy()))]
+            va, vb, oa, ob = flat("sa"), flat("sb"), ends("sa"), ends("sb")
+            if weighted:
+                ca, cb = flat("ca").astype(np.float64), flat("cb").astype(np.float64)
+            sims = []
             for i in range(len(oa) - 1):
-                x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
-                z = np.concatenate([x, y])
-                z.sort()
-                both = int((z[1:] == z[:-1]).sum())
-                s = both / (len(z) - both)
-                keep.append(s >= threshold)
-                sims.append(s)
-            mask = pa.array(keep, pa.bool_())
+                p, q = slice(oa[i], oa[i + 1]), slice(ob[i], ob[i + 1])
+                sims.append(probability_jaccard(va[p], ca[p], vb[q], cb[q]) if weighted else jaccard(va[p], vb[q]))
+            mask = pa.array([s >= threshold for s in sims], pa.bool_())
             yield batch(["a", "b", "similarity"], [b.column("a").filter(mask), b.column("b").filter(mask), pa.array(sims, pa.float64()).filter(mask)], [None] * 3)
 
     return run
 
 
+def candidates(keys: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+    """(a, b), a < b, once each: classes that share a band and are near enough in size. keys: id, n, band."""
+    crowded = keys.groupBy("band").count().filter(F.col("count") > BLOCK).select("band", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    near = (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n"))
+    near = F.lit(True) if weighted else near  # sizes bound plain similarity only
+    order = F.col("a.id") < F.col("b.id")
+    calm = keys.join(crowded.select("band"), "band", "left_anti")
+    x, y = calm.alias("a"), calm.alias("b")
+    pairs = x.join(y.hint("merge"), (F.col("a.band") == F.col("b.band")) & order & near)
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    # crowded bands: blocks by size, so that each holds a narrow range of sizes; equal sizes are told apart by hash
+    hot = keys.join(crowded, "band")
+    cuts = hot.groupBy("band").agg(F.percentile_approx("n", F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)]), F.lit(10_000)).alias("cuts"))
+    rank = F.aggregate("cuts", F.lit(0), lambda at, c: at + (F.col("n") > c).cast("int"))
+    per = F.greatest(F.ceil(F.col("blocks") / PARTS), F.lit(1)).cast("int")
+    spread = hot.join(cuts, "band").select("id", "n", "band", rank.alias("range"), per.alias("per")).withColumn("block", F.col("range") * F.col("per") + F.pmod(F.xxhash64("id"), F.col("per")).cast("int"))
+    part = lambda i, j: F.struct(F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi"))
+    placed = spread.select("id", "n", "band", "block", F.inline(F.transform(F.sequence(F.lit(0), F.col("per") * PARTS - 1), lambda j: part(F.col("block"), j))))
+    if not weighted:  # ranges of sizes that are too far apart for any pair
+        span = spread.groupBy("band", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        lo, hi = (span.select("band", F.col("block").alias(k), F.col("least").alias(f"least_{k}"), F.col("most").alias(f"most_{k}")) for k in ("lo", "hi"))
+        fit = lo.join(hi, "band").filter((F.col("lo") <= F.col("hi")) & (F.col("most_lo") >= F.lit(threshold) * F.col("least_hi")) & (F.col("most_hi") >= F.lit(threshold) * F.col("least_lo")))
+        placed = placed.join(fit.select("band", "lo", "hi"), ["band", "lo", "hi"], "left_semi")
+    u, v = placed.filter("block = lo").alias("a"), placed.filter("block = hi").alias("b")
+    met = u.join(v.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi")) & (F.col("a.id") != F.col("b.id")) & near)
+    more = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+    return pairs.unionByName(more).distinct()
+
+
 class NearDuplicates:
-    """classes: (id, class_id) of every id with a shingle; links: (a, b, similarity), a < b, between class ids."""
+    """classes: (id, class_id) of every id with a shingle; links: (a, b, similarity), a < b, between class ids.
+
+    weighted: shingles count as often as they stand in a text, and similarity is the probability Jaccard similarity;
+    otherwise a set counts each once, and it is the plain Jaccard similarity.
+    """
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, words_per_shingle: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, weighted: bool = False) -> None:
         texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-        schema = "id string, shingles array<long>, n int, digest long" + ", counts array<int>" * weighted
+        schema = "id string, shingles array<long>, n int, digest binary" + ", counts array<int>" * weighted
         sets, _ = written(texts.mapInArrow(_shingle_sets(words_per_shingle, weighted), schema), "shingles")
-        # a class is a set of ids of one digest, 64 bits over the whole shingle set; its id is the digest
         self.classes = sets.groupBy("id").agg(F.min("digest").alias("class_id"))
-        reps = sets.groupBy("digest").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"), *[F.any_value("counts").alias("counts")] * weighted)
-        banded = reps.withColumnRenamed("digest", "id").select("id", "shingles", "n", *["counts"] * weighted).mapInArrow(_bands(bands, rows, weighted), "id long, n int, bands array<long>")
-        keys = banded.select("id", "n", F.explode("bands").alias("band"))
-        a, b = keys.alias("a"), keys.alias("b")
-        near = (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n"))
-        pairs = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-        left = reps.select(F.col("digest").alias("a"), F.col("shingles").alias("sa"))
-        right = reps.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
-        links = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verified(threshold), "a long, b long, similarity double")
-        self.links, _ = written(links, "links")
+        extra = ["counts"] * weighted
+        reps = sets.groupBy("digest").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"), *[F.any_value(c).alias(c) for c in extra])
+        banded = reps.withColumnRenamed("digest", "id").select("id", "shingles", "n", *extra).mapInArrow(_bands(bands, rows, weighted), "id binary, n int, bands array<long>")
+        banded, _ = written(banded, "bands")
+        pairs = candidates(banded.select("id", "n", F.explode("bands").alias("band")), threshold, weighted)
+        side = lambda k: reps.select(F.col("digest").alias(k), F.col("shingles").alias(f"s{k}"), *[F.col(c).alias(f"c{k}") for c in extra])
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", *(["ca", "cb"] * weighted))
+        self.links, _ = written(both.mapInArrow(_verified(threshold, weighted), "a binary, b binary, similarity double"), "links")
 
     def pairs(self) -> DataFrame:
-        """(a, b), a < b: all pairs of different ids, those within a class included."""
+        """(a, b), a < b: all pairs of different ids, those within a class included: quadratic in copies. documents() and
+        links say the same without expanding them."""
         c = self.classes
         x, y = c.select(F.col("id").alias("x"), F.col("class_id").alias("a")), c.select(F.col("id").alias("y"), F.col("class_id").alias("b"))
         across = self.links.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -162,4 +216,4 @@ class NearDuplicates:
     def documents(self) -> DataFrame:
         """One row per text: (id, class_id, links), links being the number of similar classes."""
         ends = self.links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").count().withColumnRenamed("count", "links")
-        return self.classes.join(ends, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+        return self.classes.join(ends, "class_id", "left").select("id", F.lower(F.hex("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
