@@ -8,8 +8,8 @@ is then squared again and again; after k squarings the set of reached boundaries
 all cuts of all texts of a batch are found in log2(pieces) vectorised steps.
 
 Cases: null texts and texts without a limit or within it come out as one whole piece (an empty text as one empty
-piece, a null text as none); an overlap of more than half the limit counts as half the limit, a negative or null one
-as 0, a limit below 1 as 1; repeated rows are split each by itself; pieces are exact substrings, so dropping the
+piece, a null text as none); an overlap of the limit or more counts as one character less than the limit, so that pieces
+go on, a negative or null one as 0, a limit below 1 as 1; repeated rows are split each by itself; pieces are exact substrings, so dropping the
 overlaps gives back the text.
 """
 
@@ -83,14 +83,28 @@ def cuts(texts: list[str], limits: list[int], overlaps: list[int]) -> list[np.nd
     return [nodes[lo + 1 : hi] - s for lo, hi, s in zip(bounds[:-1], bounds[1:], starts)]
 
 
+AT_ONCE = 4_000_000  # characters whose tables are squared together; a longer text goes alone
+
+
+def _groups(sizes: list[int]):
+    """Slices of neighbours of at most AT_ONCE characters."""
+    lo = held = 0
+    for k, n in enumerate(sizes):
+        if k > lo and held + n > AT_ONCE:
+            yield slice(lo, k)
+            lo, held = k, 0
+        held += n
+    if lo < len(sizes):
+        yield slice(lo, len(sizes))
+
+
 def _split(batches):
     for b in batches:
         ids, texts = b.column("row").to_pylist(), b.column("text").to_pylist()
         limits = [max(1, x) for x in b.column("max_chars").to_pylist()]
-        overlaps = [min(max(0, o or 0), x // 2) for o, x in zip(b.column("overlap_chars").to_pylist(), limits)]
+        overlaps = [min(max(0, o or 0), x - 1) for o, x in zip(b.column("overlap_chars").to_pylist(), limits)]
         out: list[list] = [[], [], [], [], []]
-        for lo in range(0, len(texts), 256):
-            part = slice(lo, lo + 256)
+        for part in _groups([len(t) for t in texts]):
             for i, text, overlap, ends in zip(ids[part], texts[part], overlaps[part], cuts(texts[part], limits[part], overlaps[part])):
                 begin = np.r_[0, np.maximum(ends[:-1] - overlap, 0)]
                 for k, (s, e) in enumerate(zip(begin.tolist(), ends.tolist())):
