@@ -21,6 +21,7 @@ for them; empty tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections import defaultdict, deque
 
 import pandas as pd
@@ -35,6 +36,20 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 MOST_PATTERNS = 200_000
 
 
+BLANKS = re.compile(r"\s{500,}")
+
+
+def count_tokens(encoder, text: str) -> int:
+    """Tokens of a whole text. Long runs of white space, which the splitting pattern can't take, are pieces of their own
+    just as the pattern has them: all of the run, but for its last character if something follows."""
+    n = at = 0
+    for m in BLANKS.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        n += len(encoder.encode_ordinary(text[at : m.start()])) + len(encoder._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + len(encoder.encode_ordinary(text[at:]))
+
+
 def _counter(path: str):
     def run(batches):
         import tiktoken
@@ -43,8 +58,7 @@ def _counter(path: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encoder = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
-            tokens = [sum(len(encoder.encode_ordinary(t[k : k + 100_000])) for k in range(0, len(t), 100_000)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "unit": pdf["unit"], "n_tokens": tokens})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "unit": pdf["unit"], "n_tokens": [count_tokens(encoder, t) for t in pdf["text"]]})
 
     return run
 
@@ -55,8 +69,9 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return rows.mapInPandas(_counter(tokenizer), "doc_id long, source string, unit string, n_tokens long").filter("n_tokens > 0")
 
 
-def min_cost_flow(arcs: list[tuple], source, sink) -> tuple[int, dict]:
-    """Maximum flow of least cost by successive shortest paths. arcs: (from, to, capacity, cost); flow by arc number."""
+def min_cost_flow(arcs: list[tuple], source, sink) -> tuple[int, dict, set]:
+    """Maximum flow of least cost by successive shortest paths. arcs: (from, to, capacity, cost). The flow, its parts by
+    arc number, and the nodes on the source's side of a least cut."""
     graph, to, cap, cost = defaultdict(list), [], [], []
     for a, b, c, w in arcs:
         graph[a].append(len(to))
@@ -76,7 +91,7 @@ def min_cost_flow(arcs: list[tuple], source, sink) -> tuple[int, dict]:
                         queue.append(to[e])
                         waiting.add(to[e])
         if sink not in dist:
-            return total, {i: cap[2 * i + 1] for i in range(len(arcs))}
+            return total, {i: cap[2 * i + 1] for i in range(len(arcs))}, set(dist)
         path, v = [], sink
         while v != source:
             path.append(via[v])
@@ -105,13 +120,16 @@ def flows(tokens: dict[tuple, int], targets: dict[str, float], repeats: dict[str
         return {}
     share = {s: w / weight for s, w in targets.items() if s in alive and w > 0}
     quota = lambda t: {s: int(t * w) for s, w in share.items()}
-    if total is None:
-        lo, hi = 0, 2 * sum(n * sum(repeats[s] for s in p) for p, n in tokens.items()) + 1
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            q = quota(mid)
-            lo, hi = (mid, hi) if min_cost_flow(_network(tokens, q, repeats), "in", "out")[0] == sum(q.values()) else (lo, mid)
-        total = lo
+    if total is None:  # from cut to cut: each names sources whose quotas pass all that can reach them
+        total = 2 * sum(n * sum(repeats[s] for s in p) for p, n in tokens.items()) + 1
+        while True:
+            q = quota(total)
+            arcs = _network(tokens, q, repeats)
+            flow, _, near = min_cost_flow(arcs, "in", "out")
+            if flow == sum(q.values()):
+                break
+            reach = sum(c for a, b, c, _ in arcs if a in near and b not in near and b != "out")
+            total = min(total - 1, int(reach / sum(w for s, w in share.items() if s not in near)))
     arcs = _network(tokens, quota(total), repeats)
     flow = min_cost_flow(arcs, "in", "out")[1]
     return {(a, b): flow[i] for i, (a, b, _, _) in enumerate(arcs) if isinstance(a, tuple) and b != "out" and flow[i]}
@@ -147,7 +165,7 @@ def draw(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     placed = ranged.withColumn("_in", inside).join(before, ["pattern", "range"]).withColumn("place", F.col("_in") + F.col("_before"))
     # the number of turns t with begin <= place + t * around < begin + length
     at_or_after = lambda x: F.ceil((x - F.col("place")) / F.col("around"))
-    used = placed.join(F.broadcast(arc_df), "pattern").withColumn("repeats", (at_or_after(F.col("begin") + F.col("length")) - at_or_after(F.col("begin"))).cast("int"))
+    used = placed.join(arc_df, "pattern").withColumn("repeats", (at_or_after(F.col("begin") + F.col("length")) - at_or_after(F.col("begin"))).cast("int"))
     drawn = used.filter("repeats > 0").select("unit", "source", "repeats").join(held, ["unit", "source"]).select("doc_id", "source", "n_tokens", "repeats")
     return drawn, wanted
 

@@ -14,7 +14,7 @@ from tests.llm import brute
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab. \n가", max_size=300), st.integers(1, 60), st.integers(0, 40))
 def test_pieces_give_back_the_text(text, limit, overlap):
-    overlap = min(overlap, limit // 2)
+    overlap = min(overlap, limit - 1)
     ends = split.cuts([text], [limit], [overlap])[0] if text else np.array([0])
     starts = np.r_[0, np.maximum(ends[:-1] - overlap, 0)]
     assert ends[-1] == len(text) and all(e - s <= limit for s, e in zip(starts, ends))
@@ -23,6 +23,12 @@ def test_pieces_give_back_the_text(text, limit, overlap):
         assert ends.tolist() == brute.greedy_cuts(split.successors(split.boundary_rank(text), limit, overlap).tolist())
 
 
+def test_groups_of_texts_are_bounded(monkeypatch):
+    monkeypatch.setattr(split, "AT_ONCE", 10)
+    assert [list(range(9))[p] for p in split._groups([3, 4, 4, 50, 1, 1, 9, 1, 9])] == [[0, 1], [2], [3], [4, 5], [6, 7], [8]]
+    assert list(split._groups([])) == []
+
+
 def test_split_prefers_paragraphs(spark):
     text = "One sentence. Two here.\n\nNext paragraph goes on and on. End."
     rows = [(1, "a", text), (2, "a", None), (3, "a", ""), (4, "b", text * 3), (5, "c", text), (1, "a", text)]
@@ -198,13 +204,52 @@ def test_names_in_lower_case():
 
 def test_min_cost_flow():
     arcs = [("s", "a", 3, 0), ("s", "a", 3, 1), ("a", "t", 5, 0), ("s", "b", 2, 5), ("b", "t", 9, 0)]
-    total, flow = mixing.min_cost_flow(arcs, "s", "t")
+    total, flow, _ = mixing.min_cost_flow(arcs, "s", "t")
     assert total == 7 and [flow[i] for i in range(5)] == [3, 2, 5, 2, 2]
     got = mixing.flows({("a",): 100, ("a", "b"): 100, ("b",): 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 1})
     total = sum(got.values())
     assert total == 220 and sum(v for (p, s), v in got.items() if s == "a") == 110
 
 
+def test_the_largest_total_against_bisection():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        names = "abcde"[: rng.integers(1, 6)]
+        tokens = {tuple(sorted(rng.choice(list(names), rng.integers(1, len(names) + 1), replace=False).tolist())): int(rng.integers(1, 900)) for _ in range(6)}
+        alive = sorted({s for p in tokens for s in p})
+        weights = rng.random(len(alive)) + 0.05
+        targets, repeats = dict(zip(alive, weights / weights.sum())), {s: int(rng.integers(1, 4)) for s in alive}
+
+        def fits(t):
+            q = {s: int(t * w) for s, w in targets.items()}
+            return mixing.min_cost_flow(mixing._network(tokens, q, repeats), "in", "out")[0] == sum(q.values())
+
+        drawn = sum(mixing.flows(tokens, targets, repeats).values())
+        lo, hi = 0, 100_000
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if fits(mid) else (lo, mid)
+        assert abs(drawn - sum(int(lo * w) for w in targets.values())) <= 2 * len(alive) + lo * 1e-9
+
+
+def test_tokens_of_whole_texts(monkeypatch):
+    import base64
+    import random
+    import re
+
+    import tiktoken
+
+    with open(mixing.TOKENIZER, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    e = tiktoken.Encoding("t", pat_str=mixing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert mixing.count_tokens(e, "a" + " " * 300_000 + "b") == 300_001  # the pattern alone can't take it
+    monkeypatch.setattr(mixing, "BLANKS", re.compile(r"\s{3,}"))
+    pick = random.Random(2)
+    for _ in range(500):
+        text = "".join(pick.choice("ab  \n\t.1'") for _ in range(pick.randint(0, 60)))
+        assert mixing.count_tokens(e, text) == len(e.encode_ordinary(text))
+
+
 def test_mixing(spark):
     pytest.importorskip("tiktoken")
     rows = [(i, "a", f"text number {i} of the first source") for i in range(300)] + [(1000 + i, "b", f"second source text {i}") for i in range(20)] + [(2000, "b", "shared words"), (2001, "a", "shared words"), (2001, "a", "shared words"), (2002, "a", None), (2003, None, "x"), (2004, "c", ""), (2005, "zz", "never drawn")]
