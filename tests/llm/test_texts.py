@@ -286,3 +286,23 @@ def test_subjects(spark):
         got.setdefault(r.doc_id, set()).add(r.subject)
     assert all(got[i] == {("food", "law")[i % 2]} for i in range(60)) and got[103] == {"food", "law"} and not {100, 101, 102} & set(got)
     assert subjects.subjects(docs, lab.limit(0), areas).count() == 0 and subjects.subjects(docs.limit(0), lab, areas).count() == 0
+
+
+def test_patterns_against_counting(spark):
+    import itertools
+    import random
+    from collections import Counter
+
+    pick = random.Random(4)
+    words = "abcdefgh"
+    rows = [(sorted(pick.sample(words, pick.randint(0, 5))), sorted(pick.sample(["=x", "=y"], pick.randint(0, 2)))) for _ in range(200)]
+    rows += [([f"w{k:02}" for k in range(30)], ["=x"])] * 7  # 30 words together would be a billion sets
+    want: Counter = Counter()
+    for ws, heads in rows:
+        for k in (2, 3):
+            for c in itertools.combinations(ws, k):
+                for h in ("", *heads):
+                    want[(tuple(sorted(c)), h)] += 1
+    got = {(tuple(r.words), r.label): r.n for r in subjects.patterns(spark.createDataFrame(rows, "words array<string>, labels array<string>"), 6, 3).collect()}
+    assert got == {k: n for k, n in want.items() if n >= 6}
+    assert subjects.patterns(spark.createDataFrame([], "words array<string>, labels array<string>"), 6, 3).count() == 0
