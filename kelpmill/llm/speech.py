@@ -5,10 +5,13 @@ fall away. Speakers come from the diarization: for each segment the speaker whos
 one nearest in time. Recordings without diarization use the label a segment carries itself; where that is missing a
 hidden Markov model fills it in: the states are the speakers of the recording, the observations the words of a
 segment under a language profile of each speaker (add-one smoothed word counts of that speaker's labelled segments),
-the transitions those counted between labelled neighbours of the recording, labelled segments being fixed.
+the transitions those counted from speaker to speaker between labelled neighbours of the recording, smoothed by its rate
+of staying; labelled segments are fixed.
 
-Bounds: segments and diarization meet in time bins, so a recording of any length spreads over tasks; long recordings
-are decoded in stretches of STRETCH segments that overlap by MARGIN on each side.
+Bounds: segments and diarization meet in time bins, and everything that goes by the order of a recording is reckoned in
+stretches of STRETCH_SECONDS, with what a stretch takes over from those before it found on one row per stretch; so a
+recording of any length spreads over tasks. The model decodes stretches of STRETCH segments that overlap by MARGIN on
+each side.
 
 Cases: null text or only blanks hold no word; exact repeated rows count once; of a recording without any speaker all
 segments have one unnamed speaker; null times put a segment first and give it no overlap; equal starts go by seg_index;
@@ -29,6 +32,8 @@ from kelpmill.session import written
 
 BIN = 30.0  # seconds
 STRETCH, MARGIN = 2000, 50
+STRETCH_SECONDS = 600.0
+PRIOR = 4.0  # moves that the rate of staying counts for beside those seen from a speaker
 
 #: Sounds of hesitation in the five languages.
 HESITATIONS = (
@@ -113,33 +118,73 @@ def by_overlap(said: DataFrame, diar: DataFrame) -> DataFrame:
     return lengths.groupBy("uid").agg(F.min_by("speaker", F.struct(-F.round("length", 6), F.col("d0"), F.col("speaker"))).alias("speaker"))
 
 
+def _stretch(at: Column) -> Column:
+    """Number of the stretch of a time; null times come first."""
+    return F.coalesce(F.floor(at / STRETCH_SECONDS).cast("long"), F.lit(-(1 << 62)))
+
+
+ORDER = ("start_sec", "seg_index", "end_sec", "uid")
+
+
+def _across():
+    """Over one row per stretch."""
+    return Window.partitionBy("recording_id").orderBy("_b")
+
+
+def _earlier():
+    return _across().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def in_order(rows: DataFrame, value: str) -> DataFrame:
+    """Adds `before`, the value of the row before in its recording, and `_row`, the row's place from 0."""
+    rows = rows.withColumn("_b", _stretch(F.col("start_sec")))
+    per = rows.groupBy("recording_id", "_b").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*ORDER)).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    carried = per.select("recording_id", "_b", F.lag("_last").over(_across()).alias("_carry"), F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).alias("_done"))
+    inside = Window.partitionBy("recording_id", "_b").orderBy(*ORDER)
+    placed = rows.join(carried, ["recording_id", "_b"]).withColumn("_in", F.row_number().over(inside)).withColumn("_lag", F.lag(value).over(inside))
+    return placed.withColumn("before", F.when(F.col("_in") == 1, F.col("_carry.v")).otherwise(F.col("_lag"))).withColumn("_row", F.col("_in") - 1 + F.col("_done")).drop("_carry", "_done", "_in", "_lag")
+
+
+def running_sum(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the sum of a value over a recording up to each row; rows come from in_order()."""
+    per = rows.groupBy("recording_id", "_b").agg(F.sum(value).alias("_s"))
+    carried = per.select("recording_id", "_b", F.coalesce(F.sum("_s").over(_earlier()), F.lit(0)).alias("_done"))
+    inside = Window.partitionBy("recording_id", "_b").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_sum", F.sum(value).over(inside)).join(carried, ["recording_id", "_b"]).withColumn(name, (F.col("_sum") + F.col("_done")).cast("int")).drop("_sum", "_done")
+
+
 def by_distance(said: DataFrame, diar: DataFrame) -> DataFrame:
     """(uid, speaker) of the diarization row nearest in time: the last to end before and the first to start after."""
     none = F.lit(None)
-    points = (
-        said.select("recording_id", F.col("start_sec").alias("at"), F.lit(1).alias("kind"), "uid", F.col("start_sec").alias("s0"), F.col("end_sec").alias("s1"), none.cast("string").alias("speaker"))
-        .unionByName(diar.select("recording_id", F.col("end_sec").alias("at"), F.lit(0).alias("kind"), none.cast("long").alias("uid"), none.cast("double").alias("s0"), none.cast("double").alias("s1"), "speaker"))
-        .unionByName(diar.select("recording_id", F.col("start_sec").alias("at"), F.lit(2).alias("kind"), none.cast("long").alias("uid"), none.cast("double").alias("s0"), none.cast("double").alias("s1"), "speaker"))
-    )
-    w = Window.partitionBy("recording_id")
+    mark = lambda at, kind: diar.select("recording_id", F.col(at).alias("at"), F.lit(kind).alias("kind"), none.cast("long").alias("uid"), none.cast("double").alias("s0"), none.cast("double").alias("s1"), "speaker")
+    points = said.select("recording_id", F.col("start_sec").alias("at"), F.lit(1).alias("kind"), "uid", F.col("start_sec").alias("s0"), F.col("end_sec").alias("s1"), none.cast("string").alias("speaker"))
+    points = points.unionByName(mark("end_sec", 0)).unionByName(mark("start_sec", 2)).withColumn("_b", _stretch(F.col("at")))
     ended = F.when(F.col("kind") == 0, F.struct("at", "speaker"))
     starts = F.when(F.col("kind") == 2, F.struct("at", "speaker"))
+    per = points.groupBy("recording_id", "_b").agg(F.max(ended).alias("_e"), F.min(starts).alias("_s"))
+    later = Window.partitionBy("recording_id").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select("recording_id", "_b", F.last("_e", ignorenulls=True).over(_earlier()).alias("_e"), F.last("_s", ignorenulls=True).over(later).alias("_s"))
+    w = Window.partitionBy("recording_id", "_b")
     before = F.last(ended, ignorenulls=True).over(w.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
     after = F.last(starts, ignorenulls=True).over(w.orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0))
-    near = points.withColumn("before", before).withColumn("after", after).filter("uid IS NOT NULL")
+    near = points.withColumn("before", before).withColumn("after", after).filter("uid IS NOT NULL").join(carried, ["recording_id", "_b"])
+    near = near.withColumn("before", F.coalesce("before", "_e")).withColumn("after", F.coalesce("after", "_s"))
     gap0, gap1 = F.col("s0") - F.col("before.at"), F.col("after.at") - F.col("s1")
     return near.select("uid", F.when(F.col("after").isNull() | (gap0 <= gap1), F.col("before.speaker")).otherwise(F.col("after.speaker")).alias("speaker"))
 
 
 def _decoded(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Viterbi over one stretch: uid, label, scores (log likelihood per speaker), moves (stay probability)."""
+    """Viterbi over one stretch: uid, label, scores (log likelihood per speaker), stay (rate), moves (counts of 'a>b')."""
     pdf = pdf.sort_values(["start_sec", "seg_index", "uid"], na_position="first", kind="stable")
     speakers = sorted({s for row in pdf["scores"] for s in row})
     if not speakers:
         return pd.DataFrame({"uid": pdf["uid"], "speaker": None, "inner": pdf["inner"]})
     k, stay = len(speakers), float(pdf["stay"].iloc[0])
-    move = np.full((k, k), np.log((1 - stay) / max(1, k - 1) + 1e-9))
-    np.fill_diagonal(move, np.log(stay))
+    prior = np.full((k, k), (1 - stay) / max(1, k - 1) + 1e-9)
+    np.fill_diagonal(prior, stay)
+    seen = pdf["moves"].iloc[0] or {}
+    counts = np.array([[seen.get(f"{a}>{b}", 0) for b in speakers] for a in speakers], float)
+    move = np.log((counts + PRIOR * prior) / (counts.sum(axis=1, keepdims=True) + PRIOR * prior.sum(axis=1, keepdims=True)))
     emit = np.array([[row.get(s, -1e6) for s in speakers] for row in pdf["scores"]])
     for i, label in enumerate(pdf["label"]):
         if isinstance(label, str) and label in speakers:
@@ -170,15 +215,15 @@ def by_markov_model(said: DataFrame) -> DataFrame:
     scored = hits.groupBy("uid", "speaker").agg(F.sum(F.log((F.coalesce("count", F.lit(0)) + 1) / (F.col("total") + F.col("v")))).alias("score"))
     open_scores = scored.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("speaker", "score"))).alias("scores"))
     fixed = F.when(F.col("label").isNotNull(), F.create_map("label", F.lit(0.0)))
-    order = Window.partitionBy("recording_id").orderBy("start_sec", "seg_index", "uid")
-    lag = F.lag("label").over(order)
-    seq = rows.withColumn("_same", F.when(lag.isNotNull() & F.col("label").isNotNull(), (lag == F.col("label")).cast("int"))).withColumn("_row", F.row_number().over(order) - 1)
+    seq = in_order(rows, "label").withColumn("_same", F.when(F.col("before").isNotNull() & F.col("label").isNotNull(), (F.col("before") == F.col("label")).cast("int")))
     stays = seq.groupBy("recording_id").agg(((F.coalesce(F.sum("_same"), F.lit(0)) + 1) / (F.count("_same") + 2)).alias("stay"))
+    moved = seq.filter("_same IS NOT NULL").groupBy("recording_id", F.concat_ws(">", "before", "label").alias("move")).count()
+    stays = stays.join(moved.groupBy("recording_id").agg(F.map_from_entries(F.collect_list(F.struct("move", "count"))).alias("moves")), "recording_id", "left")
     stretch = F.floor(F.col("_row") / STRETCH)
     at = F.col("_row") % STRETCH
     placed = seq.join(open_scores, "uid", "left").withColumn("scores", F.coalesce(fixed, "scores")).join(stays, "recording_id")
     spread = F.array_compact(F.array(F.struct(stretch.alias("stretch"), F.lit(True).alias("inner")), F.when((at < MARGIN) & (stretch > 0), F.struct((stretch - 1).alias("stretch"), F.lit(False).alias("inner"))), F.when(at >= STRETCH - MARGIN, F.struct((stretch + 1).alias("stretch"), F.lit(False).alias("inner")))))
-    cut = placed.select("recording_id", "uid", "start_sec", "seg_index", "label", "scores", "stay", F.inline(spread)).withColumn("scores", F.coalesce("scores", F.create_map().cast("map<string,double>")))
+    cut = placed.select("recording_id", "uid", "start_sec", "seg_index", "label", "scores", "stay", "moves", F.inline(spread)).withColumn("scores", F.coalesce("scores", F.create_map().cast("map<string,double>")))
     decoded = cut.groupBy("recording_id", "stretch").applyInPandas(_decoded, "uid long, speaker string, inner boolean")
     return decoded.filter("inner").select("uid", "speaker")
 
@@ -199,9 +244,8 @@ def turns_of_segments(segments: DataFrame, diarization: DataFrame) -> DataFrame:
     guessed, _ = written(guessed, "guessed")
     speakers = longest.unionByName(nearest).unionByName(own).unionByName(guessed)
     rows = said.drop("label").join(speakers, "uid", "left").withColumn("speaker", F.coalesce("speaker", F.lit("?")))
-    order = Window.partitionBy("recording_id").orderBy("start_sec", "seg_index", "end_sec", "uid")
-    changed = F.when(F.lag("speaker").over(order).eqNullSafe(F.col("speaker")), 0).otherwise(1)
-    turned = rows.withColumn("_c", changed).withColumn("turn_no", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    rows, _ = written(in_order(rows, "speaker").withColumn("_c", (~F.col("before").eqNullSafe(F.col("speaker"))).cast("int")), "ordered")
+    turned = running_sum(rows, "_c", "turn_no")
     first = turned.groupBy("recording_id", "speaker").agg(F.min("turn_no").alias("_first"))
     numbered = first.withColumn("speaker_no", F.row_number().over(Window.partitionBy("recording_id").orderBy("_first"))).drop("_first")
     return turned.join(numbered, ["recording_id", "speaker"]).select("recording_id", "seg_index", "start_sec", "end_sec", "text", "turn_no", "speaker_no")

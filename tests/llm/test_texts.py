@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kelpmill.llm import mail, mixing, personal, speech, split, subjects, tagger, trees
 from tests.llm import brute
@@ -70,7 +71,9 @@ def test_turns(spark):
     assert {r.text for r in speech.turns(*frames(spark)).filter("recording_id = 'r'").collect()} == {"hello", "third", "far"}
 
 
-def test_turns_match_brute_force(spark):
+@pytest.mark.parametrize("seconds", [600.0, 7.0])
+def test_turns_match_brute_force(spark, monkeypatch, seconds):
+    monkeypatch.setattr(speech, "STRETCH_SECONDS", seconds)  # many stretches
     rng = np.random.default_rng(1)
     seg, diar, t = [], [], 0.0
     for i in range(200):
@@ -83,6 +86,16 @@ def test_turns_match_brute_force(spark):
     assert speech.turns_of_segments(*frames(spark, seg[:0], diar)).count() == 0
 
 
+def test_the_place_of_a_row_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(speech, "STRETCH_SECONDS", 2.0)
+    starts = [None, None, -5.0, 0.0, 0.5, 1.9, 2.0, 9.0, 9.0, 30.0]
+    rows = [("r", s, k, 0.0, k, None if k % 3 == 0 else f"v{k}") for k, s in enumerate(starts)] + [("q", 1.0, 0, 0.0, 100, "x")]
+    df = speech.in_order(spark.createDataFrame(rows, "recording_id string, start_sec double, seg_index int, end_sec double, uid long, v string"), "v")
+    got = {r.uid: (r._row, r.before, r.total) for r in speech.running_sum(df.withColumn("one", F.lit(1)), "one", "total").collect()}
+    assert got[100] == (0, None, 1)
+    assert [got[k] for k in range(10)] == [(k, rows[k - 1][5] if k else None, k + 1) for k in range(10)]
+
+
 MAIL = "Hi Bo,\r\n\r\nThe parcel came back twice in the usual order.\r\n\r\nKind regards\r\nAnn Lee\r\nTel. 010-0001-0002\r\n\r\nOn 06 June 2025 10:49, Bo Kim <bo@x.test>\r\nwrote:\r\n> Dear Ann,\r\n> The old text stands here for a while.\r\n"
 
 
