@@ -69,6 +69,12 @@ def _run_dir(spark: SparkSession) -> str:
     return path
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a table of written() that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes the intermediate tables of this session; frames that read them are of no use any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
