@@ -8,7 +8,7 @@ table are reranked by their exact similarity. Cells keep their mean size at ever
 and of the last one only as many coordinates are looked at as are needed. Two vectors meet more seldom in finer cells, so
 the number of tables follows from how often pairs of the least similarity do, so that TARGET of them meet at every size.
 
-Bounds: equal vectors are hashed once and expanded at the end; a cell crowded with rows that ask or answer is cut into a
+Bounds: a few tables are worked on at a time, so that disk does not grow with their number; equal vectors are hashed once and expanded at the end; a cell crowded with rows that ask or answer is cut into a
 grid of blocks of both, whose parts are spread over tasks, so that no task holds a whole crowded cell.
 
 Cases: vectors that are null, of another length, all zero or with a value that is not finite take no part; of several
@@ -18,6 +18,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -26,9 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kelpmill.session import written
+from kelpmill.session import removed, written
 
 BLOCK, ASK = 1024, 8192  # rows that answer and that ask in one part of a cell
+AT_ONCE = 6  # tables whose cells are on disk at the same time
 MARGIN = 0.01  # of similarities of packed vectors
 
 
@@ -83,18 +85,16 @@ def _unpacked(column, dim: int) -> np.ndarray:
     return raw[:, 4:].astype(np.float32) * raw[:, :4].copy().view(np.float32)
 
 
-def _hashed(dim: int, tables: int, depth: int, among: int, probes: int):
-    """Batches (vid, v) -> (vid, q: packed unit vector, cells: one per table and probe, own: the first of its table)."""
+def _hashed(dim: int, tables: range, depth: int, among: int, probes: int):
+    """Batches (vid, v) -> (vid, q: packed unit vector, cells: one per table and probe, the first of a table its own)."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             x = _unit(b.column("v"), dim)
-            cells = np.empty((len(x), tables, probes), np.int64)
-            for t in range(tables):
-                cells[:, t, :] = _codes(x, t, depth, among, probes)
-            offsets = np.arange(0, len(x) * tables * probes + 1, tables * probes)
+            cells = np.stack([_codes(x, t, depth, among, probes) for t in tables], axis=1)
+            offsets = np.arange(0, cells.size + 1, cells[0].size)
             yield pa.RecordBatch.from_arrays([b.column("vid"), pa.array(_packed(x), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cells.reshape(-1)))], names=["vid", "q", "cells"])
 
     return run
@@ -207,34 +207,51 @@ def similar(df: DataFrame, id_col: str, vector_col: str, order_col: str, dim: in
     """(a, b, similarity, rank): for each usable id a, its up to k most similar ids b of at least min_similarity."""
     rows = df.filter(usable(F.col(vector_col), dim) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("v"), F.col(order_col).alias("o"))
     one = rows.groupBy("id").agg(F.min_by("v", "o").alias("v"))
-    ids, _ = written(one.withColumn("vid", F.xxhash64("v")), "vectors")
-    distinct = ids.groupBy("vid").agg(F.any_value("v").alias("v"), F.count(F.lit(1)).alias("copies"))
-    n = ids.count()
+    whole, path = written(one.withColumn("vid", F.xxhash64("v")), "vectors")
+    ids, _ = written(whole.select("id", "vid"), "ids")
+    distinct, _ = written(whole.groupBy("vid").agg(F.any_value("v").alias("v"), F.count(F.lit(1)).alias("copies")), "distinct-vectors")
+    removed(df.sparkSession, path)
+    n = distinct.count()
     depth, among, tables = planned(n, dim, mean_cell, min_similarity, probes)
-    hashed, _ = written(distinct.select("vid", "v").mapInArrow(_hashed(dim, tables, depth, among, probes), "vid long, q binary, cells array<long>"), "cells")
-    cells = hashed.select("vid", F.posexplode("cells").alias("at", "cell"))
+    found = [_met(distinct, dim, range(lo, min(lo + AT_ONCE, tables)), depth, among, probes, k, min_similarity) for lo in range(0, tables, AT_ONCE)]
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return _ranked(pairs.distinct(), ids, distinct, k, min_similarity)
+
+
+def _met(distinct: DataFrame, dim: int, tables: range, depth: int, among: int, probes: int, k: int, least: float) -> DataFrame:
+    """(a, b), a < b: pairs found in some of the tables, written. Packed vectors go to their cells in one shuffle, whose
+    files and those of the hashes are given up before the next tables are begun."""
+    spark = distinct.sparkSession
+    hashed, path = written(distinct.select("vid", "v").mapInArrow(_hashed(dim, tables, depth, among, probes), "vid long, q binary, cells array<long>"), "cells")
+    cells = hashed.select("vid", "q", F.posexplode("cells").alias("at", "cell"))
     own = (F.col("at") % probes) == 0  # a vector lies in its own cell and asks in all its cells
-    cells = cells.select("cell", "vid", own.alias("r"))
+    cells = cells.select("cell", "vid", "q", own.alias("r"))
     held = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_l"), F.count_if("r").alias("_r")).filter((F.col("_l") > ASK) | (F.col("_r") > BLOCK))
-    crowded = held.select("cell", F.ceil(F.col("_l") / ASK).cast("int").alias("lb"), F.greatest(F.ceil(F.col("_r") / BLOCK), F.lit(1)).cast("int").alias("rb"))
-    asked = cells.join(crowded, "cell", "left")
-    lb, rb = F.coalesce("lb", F.lit(1)), F.coalesce("rb", F.lit(1))
-    mine = lambda blocks, salt: F.pmod(F.xxhash64("vid", F.lit(salt)), blocks).cast("int")
-    row = lambda part, l, r: F.struct(part.alias("part"), F.lit(l).alias("l"), (F.lit(True) if r is True else F.lit(False) if r is False else r).alias("r"))
+    crowded, _ = written(held.select("cell", F.ceil(F.col("_l") / ASK).cast("int").alias("lb"), F.greatest(F.ceil(F.col("_r") / BLOCK), F.lit(1)).cast("int").alias("rb")), "crowded")
     # a crowded cell is a grid: its askers of block i ask in the parts (i, *), its owners of block j answer in (*, j)
-    asks = F.transform(F.sequence(F.lit(0), rb - 1), lambda j: row(mine(lb, 1) * rb + j, True, False))
-    answers = F.when(F.col("r"), F.transform(F.sequence(F.lit(0), lb - 1), lambda i: row(i * rb + mine(rb, 2), False, True))).otherwise(F.array().cast("array<struct<part:int,l:boolean,r:boolean>>"))
-    parts = F.when(F.col("lb").isNull(), F.array(row(F.lit(0), True, F.col("r")))).otherwise(F.concat(asks, answers))
-    placed = asked.select("cell", "vid", F.inline(parts))
-    shared = placed.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("_n"), F.max("r").alias("_r")).filter("_n > 1 AND _r").select("cell", "part")
-    return _finish(placed, shared, hashed, ids, distinct, dim, k, min_similarity)
-
-
-def _finish(placed: DataFrame, shared: DataFrame, hashed: DataFrame, ids: DataFrame, distinct: DataFrame, dim: int, k: int, least: float) -> DataFrame:
-    with_q = placed.join(shared, ["cell", "part"], "left_semi").join(hashed.select("vid", "q"), "vid")
-    sorted_rows = with_q.select("cell", "part", "vid", "q", "l", "r").repartition("cell", "part").sortWithinPartitions("cell", "part")
+    mine = lambda blocks, salt: F.pmod(F.xxhash64("vid", F.lit(salt)), F.col(blocks)).cast("int")
+    row = lambda part, l, r: F.struct(part.alias("part"), F.lit(l).alias("l"), F.lit(r).alias("r"))
+    asks = F.transform(F.sequence(F.lit(0), F.col("rb") - 1), lambda j: row(mine("lb", 1) * F.col("rb") + j, True, False))
+    answers = F.when(F.col("r"), F.transform(F.sequence(F.lit(0), F.col("lb") - 1), lambda i: row(i * F.col("rb") + mine("rb", 2), False, True))).otherwise(F.array().cast("array<struct<part:int,l:boolean,r:boolean>>"))
+    n = crowded.count()
+    placed = cells.select("cell", F.lit(0).alias("part"), "vid", "q", F.lit(True).alias("l"), "r")
+    if n:
+        small = F.broadcast(crowded) if n < 100_000 else crowded  # checked
+        grid = cells.join(small, "cell").select("cell", "vid", "q", F.inline(F.concat(asks, answers)))
+        placed = placed.join(small.select("cell"), "cell", "left_anti").unionByName(grid)
+    sorted_rows = placed.select("cell", "part", "vid", "q", "l", "r").repartition("cell", "part").sortWithinPartitions("cell", "part")
     found = sorted_rows.mapInArrow(_compare(dim, k, least - MARGIN), "a long, b long, s float")
     pairs, _ = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neighbours")
+    removed(spark, path)
+    del sorted_rows, found, placed, cells, held
+    gc.collect()
+    spark._jvm.System.gc()  # the cleaner removes the shuffle files of frames that are gone
+    return pairs
+
+
+def _ranked(pairs: DataFrame, ids: DataFrame, distinct: DataFrame, k: int, least: float) -> DataFrame:
     va, vb = distinct.select(F.col("vid").alias("a"), F.col("v").alias("va")), distinct.select(F.col("vid").alias("b"), F.col("v").alias("vb"))
     exact = pairs.join(va, "a").join(vb, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") >= least)
     exact = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))

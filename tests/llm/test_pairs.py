@@ -182,7 +182,7 @@ def _cells(v, depth, among, tables, probes):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(v))), pa.array(list(v), pa.list_(pa.float64()))], names=["vid", "v"])
-    out = next(vectors._hashed(64, tables, depth, among, probes)([batch]))
+    out = next(vectors._hashed(64, range(tables), depth, among, probes)([batch]))
     return out.column("cells").flatten().to_numpy().reshape(len(v), tables, probes)
 
 
