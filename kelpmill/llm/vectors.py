@@ -159,7 +159,6 @@ def _compare(dim: int, k: int, least: float):
 
 
 LEAST_AXES = 2  # of the last rotation
-ROW_COST = 40  # comparisons that cost as much as bringing a row to a cell
 TARGET = 0.93  # share of the pairs of exactly the least similarity that are to meet in some table
 
 
@@ -195,12 +194,8 @@ def planned(n: int, dim: int, mean_cell: float, similarity: float, probes: int)
     if depth > 1 and cells / (2 * width) ** (depth - 1) < 2 * LEAST_AXES:  # nearly whole rotations
         depth -= 1
     among = min(width, max(LEAST_AXES, round(cells / (2 * width) ** (depth - 1) / 2)))
-    plans = []
-    for d, k in {(depth, among), (max(1, depth - 1), width)}:  # finer cells in more tables, or coarser ones in fewer
-        p = meeting(dim, similarity, d, k, probes)
-        tables = max(1, math.ceil(math.log(1 - TARGET) / math.log(1 - min(p, 0.999))))
-        plans.append((tables * (ROW_COST + n / (2 * k * (2 * width) ** (d - 1))), d, k, tables))
-    return min(plans)[1:]
+    p = meeting(dim, similarity, depth, among, probes)
+    return depth, among, max(1, math.ceil(math.log(1 - TARGET) / math.log(1 - min(p, 0.999))))
 
 
 def similar(df: DataFrame, id_col: str, vector_col: str, order_col: str, dim: int = 64, k: int = 5, min_similarity: float = 0.8, probes: int = 3, mean_cell: float = 6) -> DataFrame:

@@ -191,7 +191,7 @@ def test_pairs_meet_at_every_number_of_vectors():
     for n in (100, 5_000, 60_000, 100_000, 150_000, 500_000, 3_000_000, 20_000_000):
         depth, among, tables = vectors.planned(n, 64, 6, 0.8, 3)
         cells = 128 ** (depth - 1) * 2 * among
-        assert n < 1000 or n / cells <= 70, (n, depth, among)
+        assert n < 1000 or 2 <= n / cells <= 13, (n, depth, among)
         assert met(depth, among, tables, similarity=0.80) >= 0.9, (n, depth, among, tables)
 
 
