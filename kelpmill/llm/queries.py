@@ -104,6 +104,19 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_redacted": p7_redacted, "p10_found": p10_found, "p10_composition": p10_composition, "p3_found": p3_found, "p3_new_text": p3_new_text, "p8_found": p8_found, "p8_items": p8_items, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p5_found": p5_found, "p5_turns": p5_turns, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
+WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _runs(rows: str, key: str, text: str, n: int) -> str:
+    """SQL of the distinct n-word sequences of each text."""
+    joined = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"SELECT DISTINCT {key}, {joined} AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT {key}, {WORDS.format(text)} AS w FROM {rows} WHERE {text} IS NOT NULL) WHERE len(w) >= {n})"
+
+
 SQL: dict[str, str] = {
+    "p2_found": f"""WITH d AS (SELECT source_id, min(content) AS content FROM brain_documents WHERE source_type IN {EDITED} GROUP BY 1), s AS ({_runs('d', 'source_id', 'content', 3)}), n AS (SELECT source_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.source_id AS a, b.source_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.source_id < b.source_id GROUP BY 1, 2)
+        SELECT a AS source_id_a, b AS source_id_b FROM p JOIN n x ON a = x.source_id JOIN n y ON b = y.source_id WHERE c / (x.n + y.n - c) >= 0.6""",
+    "p8_found": f"WITH d AS ({_runs('documents', 'doc_id', 'text', 12)}), i AS ({_runs('eval_items', 'item_id', 'item_text', 12)}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
     "p4_found": "SELECT record_id FROM brain_documents JOIN split_limits USING (source_type) WHERE length(content) > max_chars",
 }
