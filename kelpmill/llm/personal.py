@@ -1,14 +1,14 @@
 """Personal data in free text: a character-level BiLSTM-CRF finds it, typed placeholders replace it.
 
-A screen goes over the whole text first: words of the model's vocabulary (words that the training sample holds again
-and again, never inside personal data) open no window; any other word, in whatever case, any run of seven digits and
-any @ opens one of CONTEXT characters around it. Windows that meet are one region; a region longer than WINDOW is cut
+Every character of every text goes through the network, whatever words stand there: texts longer than WINDOW are cut
 into overlapping windows, whose emissions are stitched together, each character's from the window in which it lies
-farther inside. Regions are then decoded as a whole by one Viterbi pass, cut only where no tag but O comes near.
-Windows are scored in batches by the network; equal regions and windows (all digits being one symbol) are scored once.
+farther inside. A text is decoded as a whole; the Viterbi pass leaves out only runs of characters of which the emissions
+alone prove that the best path is O there. Windows are scored in batches by the network; equal texts and windows (all
+digits being one symbol) are scored once.
 An exact check follows: tagged e-mail addresses, numbers and ids are aligned to their full extent by a pattern of their
 kind and dropped if none fits (dates, versions, order numbers); addresses and names are aligned to whole words, titles
-cut off.
+cut off. Words that the training sample holds again and again, never inside personal data, are cut off the ends of a
+name; a name made of such words alone is dropped.
 
 The network is trained by train_personal.py on a bounded sample of spans labelled by rules and by the names in mail
 headers and contact names. As no hand labels exist, its accuracy is measured against held-out labels of that kind.
@@ -33,11 +33,11 @@ from kelpmill.llm import tagger
 MODEL = os.path.join(os.path.dirname(__file__), "models", "personal.npz")
 KINDS = ("email", "phone", "national_id", "street_address", "person_name")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-CONTEXT, WINDOW, OVERLAP = 16, 96, 40
+WINDOW, OVERLAP = 384, 48
+AT_ONCE = 1 << 20  # characters of texts that are scored together, a longer text by itself
 
 GAP = r"(?:[  ]|\r?\n(?:[ \t]*[>|])*[ \t]*)"  # a blank, or a line end of quoted text
 WORD = re.compile(r"[^\W\d_]+")
-LONG_NUMBER = re.compile(r"(?:\d(?:[.\-–—()+/]|\s){0,3}){7,}|@|\[at\]|\(at\)", re.IGNORECASE)
 _d, _end = "0-9０-９", r"(?![0-9０-９A-Za-z_])"  # Korean endings follow numbers without a blank
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|\[at\]|\(at\))\s?[A-Za-z0-9-]+(?:\s?(?:\.|\[dot\]|\(dot\))\s?[A-Za-z0-9-]+)+|[A-Za-z0-9_+%-]+(?: \[dot\] [A-Za-z0-9_+%-]+)* \[at\] [A-Za-z0-9-]+(?: \[dot\] [A-Za-z0-9-]+)+", re.IGNORECASE)
 _n = r"[.\-–—/]|" + GAP
@@ -52,37 +52,20 @@ ADDRESS = re.compile(
     rf"|[가-힣]{{2,5}}시{GAP}[가-힣]{{2,10}}(?:대로|로|길)(?:{GAP}\d+길)?{GAP}\d+(?:-\d+)?(?:,{GAP}\d+호)?"
 )
 TITLE = re.compile(r"^(?:(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Hr|Fr|Mme|Mlle|Sr|Sra|Don|Doña|Sir|Madame|Monsieur|Señora?|Doctor)\.?\s+)+(?=\S{3,}|\S\.)", re.IGNORECASE)
-DOUBT = 4.0  # a window none of whose emissions comes this near to O holds nothing under any transitions
+DOUBT = 4.0  # a character is in doubt if the emission of a tag comes this near to that of O
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 
 class Screen:
-    """What opens no window: words of the vocabulary."""
+    """The words of the vocabulary: they keep nothing from the network, but are no names by themselves (see align)."""
 
     def __init__(self, common: frozenset) -> None:
         self.common = common
 
-    def marks(self, text: str) -> list[tuple[int, int]]:
-        common, low = self.common, text.lower()
-        words = ((m.group(), m.span()) for m in WORD.finditer(low)) if len(low) == len(text) else ((m.group().lower(), m.span()) for m in WORD.finditer(text))
-        return [span for w, span in words if w not in common] + [m.span() for m in LONG_NUMBER.finditer(text)]
-
 
 def screened(text: str, screen: Screen) -> list[tuple[int, int]]:
-    """Windows (start, end) of the text that need decoding."""
-    marks = screen.marks(text)
-    if not marks:
-        return []
-    marks.sort()
-    out, (start, end) = [], marks[0]
-    for s, e in marks[1:]:
-        if s - CONTEXT <= end + CONTEXT:
-            end = max(end, e)
-        else:
-            out.append((max(0, start - CONTEXT), min(len(text), end + CONTEXT)))
-            start, end = s, e
-    out.append((max(0, start - CONTEXT), min(len(text), end + CONTEXT)))
-    return out
+    """Regions (start, end) of the text that are decoded: all of it."""
+    return [(0, len(text))] if text else []
 
 
 def windows(s: int, e: int) -> list[tuple[int, int, int, int]]:
@@ -180,68 +163,81 @@ def _scored(p: dict, data: list[bytes]) -> list[np.ndarray]:
     sizes = [len(d) // 2 for d in data]
     out: list = [None] * len(data)
     order = sorted(range(len(data)), key=sizes.__getitem__)
-    for lo in range(0, len(order), 1024):
-        part = order[lo : lo + 1024]
+    for lo in range(0, len(order), 512):
+        part = order[lo : lo + 512]
         lengths = np.array([sizes[k] for k in part])
         x = np.zeros((len(part), int(lengths.max())), np.int16)
         for r, k in enumerate(part):
             x[r, : sizes[k]] = np.frombuffer(data[k], np.int16)
-        e = tagger.emissions(p, x, lengths).transpose(1, 0, 2)
+        e = tagger.emissions(p, x, lengths)
         for r, k in enumerate(part):
-            out[k] = e[r, : sizes[k]]
+            out[k] = e[: sizes[k], r].copy()
     return out
 
 
+def reach(a: np.ndarray) -> int | None:
+    """How far from characters in doubt the best path may leave O under transitions a, or None if there is no bound.
+
+    A character out of doubt loses DOUBT and more under another tag, and the transitions of that tag give back less than
+    DOUBT - gain. So a run of them in which the path enters, leaves or stays out of O is better replaced by O once it is
+    longer than these limits, whether the text goes on behind it or is cut there."""
+    stay, most, to, back = a[0, 0], a[1:, 1:].max(), a[0, 1:], a[1:, 0]
+    gain = DOUBT + stay - most
+    if gain <= 0 or gain + most <= max(to.max(), back.max()) or gain + stay + most <= to.max() + back.max():
+        return None
+    through = (most + stay - back.min() - to.min()) / gain
+    return 1 + int(max((back.max() - back.min()) / gain, (to.max() - to.min()) / gain, (stay - back.min()) / gain, (stay - to.min()) / gain, through / 2))
+
+
 def _decoded(p: dict, e: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Tags of regions that stand one behind the other in e, ends being their ends. Only stretches near which a tag other
-    than O is in doubt go through the Viterbi pass; elsewhere no transition can make up for the emissions."""
-    tags = np.zeros(len(e), np.int8)
+    """Tags of regions that stand one behind the other in e, ends being their ends. Only stretches near characters in doubt
+    go through the Viterbi pass; everywhere else the path of the whole region is O (see reach)."""
     most = e[:, 1].copy()
     for k in range(2, e.shape[1]):
         np.maximum(most, e[:, k], out=most)
     doubt = most > e[:, 0] - DOUBT
-    wide = doubt.copy()
-    for k in (1, 2):  # certain characters on both sides, where the region goes on
+    far = reach(p["A"])
+    wide = doubt.copy() if far is not None else np.ones(len(e), bool)
+    for k in range(1, min(far or 0, len(e) - 1) + 1):  # certain characters on both sides, where the region goes on
         wide[k:] |= doubt[:-k]
         wide[:-k] |= doubt[k:]
-    region = np.searchsorted(ends, np.arange(len(e)), "right")
+    region = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
     fresh = np.flatnonzero(wide & (np.r_[True, ~wide[:-1]] | np.r_[True, region[1:] != region[:-1]]))
     stop = np.flatnonzero(wide & (np.r_[~wide[1:], True] | np.r_[region[1:] != region[:-1], True])) + 1
-    sizes = stop - fresh
-    order = np.argsort(sizes, kind="stable")
-    for lo in range(0, len(order), 1024):
-        part = order[lo : lo + 1024]
-        most = int(sizes[part].max())
-        at = fresh[part][:, None] + np.arange(most)[None, :]
-        inside = at < stop[part][:, None]
-        x = e[np.minimum(at, len(e) - 1)]
-        x[~inside] = -30
-        x[~inside, 0] = 0
-        best = tagger.viterbi(np.ascontiguousarray(x.transpose(1, 0, 2)), p["A"])
-        tags[at[inside]] = best[inside]
-    return tags
+    return tagger.paths(e, p["A"], fresh, stop - fresh)
 
 
-def tag_batch(p: dict, texts: list[str], screen: Screen) -> list[list[tuple[int, int, str]]]:
-    """(start, end, kind) of the personal data in each text."""
-    places, index = [], {}
-    for i, text in enumerate(texts):
-        if regions := screened(text, screen):
-            symbols = tagger.encode(text)
-            places += [(i, s, index.setdefault(symbols[s:e].tobytes(), len(index))) for s, e in regions]
+def _tagged(p: dict, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """Runs of tags (start, end, kind number) in each text, of which none is empty. Every character is scored."""
+    code, at, index = tagger.encode("".join(texts)).tobytes(), 0, {}
+    places = []
+    for text in texts:
+        places.append(index.setdefault(code[2 * at : 2 * (at + len(text))], len(index)))
+        at += len(text)
     cut, pieces = {}, []
     for code in index:
         for a, b, first, last in windows(0, len(code) // 2):
             pieces.append((cut.setdefault(code[2 * a : 2 * b], len(cut)), first - a, last - a))
+    scores = _scored(p, list(cut))
+    sizes = np.array([len(c) // 2 for c in index])
+    ends = np.cumsum(sizes)
+    tags = _decoded(p, np.concatenate([scores[k][a:b] for k, a, b in pieces]), ends)
+    found = [spans_of(tags[hi - n : hi]) if tags[hi - n : hi].any() else [] for n, hi in zip(sizes, ends)]
+    return [found[k] for k in places]
+
+
+def tag_batch(p: dict, texts: list[str], screen: Screen) -> list[list[tuple[int, int, str]]]:
+    """(start, end, kind) of the personal data in each text."""
     raw: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if index:
-        scores = _scored(p, list(cut))
-        sizes = np.array([len(c) // 2 for c in index])
-        ends = np.cumsum(sizes)
-        tags = _decoded(p, np.concatenate([scores[k][a:b] for k, a, b in pieces]), ends)
-        found = [spans_of(tags[hi - n : hi]) if tags[hi - n : hi].any() else [] for n, hi in zip(sizes, ends)]
-        for i, s, k in places:
-            raw[i] += [(s + a, s + b, kind) for a, b, kind in found[k]]
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        if text:
+            group.append(i)
+            size += len(text)
+        if group and (size >= AT_ONCE or i + 1 == len(texts) or size + len(texts[i + 1]) > AT_ONCE):
+            for k, found in zip(group, _tagged(p, [texts[k] for k in group])):
+                raw[k] = found
+            group, size = [], 0
     out = []
     for text, found in zip(texts, raw):
         exact = {}
@@ -266,10 +262,7 @@ def _finder(p: dict, screen: Screen):
         for b in batches:
             ids, fields, texts = (b.column(k).to_pylist() for k in range(3))
             different = list(dict.fromkeys(t for t in texts if t))
-            found: dict[str, list] = {}
-            for lo in range(0, len(different), 2000):
-                part = different[lo : lo + 2000]
-                found |= dict(zip(part, tag_batch(p, part, screen)))
+            found = dict(zip(different, tag_batch(p, different, screen)))
             out: list[list] = [[], [], [], [], []]
             for i, f, t in zip(ids, fields, texts):
                 for s, e, k in found.get(t, ()):

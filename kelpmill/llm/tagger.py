@@ -33,6 +33,38 @@ def _gates(z: np.ndarray, h: int) -> None:
     z[:, : 3 * h] += 0.5
 
 
+def _states(x: np.ndarray, table: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Hidden states (T, B, H) of symbol rows x (T, B), as _direction gives them, for inference: all gates by one exp,
+    tanh(z) being 2 / (1 + exp(-2 z)) - 1, in buffers that are used again."""
+    t, b = x.shape
+    h = u.shape[0]
+    scale = np.r_[np.full(3 * h, -1), np.full(h, -2)].astype(np.float32)
+    table, u = table * scale, u * scale
+    out, hid, cell = np.empty((t, b, h), np.float32), np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
+    z, row, new = np.empty((b, 4 * h), np.float32), np.empty((b, 4 * h), np.float32), np.empty((b, h), np.float32)
+    with np.errstate(over="ignore"):  # exp gives inf, its gate 0
+        for k in range(t):
+            np.matmul(hid, u, out=z)
+            np.take(table, x[k], axis=0, out=row, mode="clip")
+            z += row
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            np.multiply(z[:, 3 * h :], 2, out=new)
+            new -= 1
+            new *= z[:, :h]
+            cell *= z[:, h : 2 * h]
+            cell += new
+            np.multiply(cell, -2, out=new)
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
+            hid = out[k]
+            np.multiply(new, z[:, 2 * h : 3 * h], out=hid)
+    return out
+
+
 def _direction(x: np.ndarray, table: np.ndarray, u: np.ndarray, keep: list | None = None) -> np.ndarray:
     """Hidden states (T, B, H) of symbol rows x (T, B)."""
     t, b = x.shape
@@ -62,11 +94,13 @@ def reversed_rows(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def emissions(p: dict, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """(T, B, tags) of symbol rows x (B, T)."""
-    f = _direction(np.ascontiguousarray(x.T), p["E"] @ p["Wf"] + p["cf"], p["Uf"])
-    b = _direction(np.ascontiguousarray(reversed_rows(x, lengths).T), p["E"] @ p["Wb"] + p["cb"], p["Ub"])
-    b = reversed_rows(b.transpose(1, 0, 2), lengths).transpose(1, 0, 2)
     h = p["Uf"].shape[0]
-    out = f @ p["V"][:h] + b @ p["V"][h:] + p["d"]
+    even = int(lengths.min()) == x.shape[1]
+    out = _states(np.ascontiguousarray(x.T), p["E"] @ p["Wf"] + p["cf"], p["Uf"]) @ p["V"][:h]
+    back = np.ascontiguousarray((x[:, ::-1] if even else reversed_rows(x, lengths)).T)
+    back = _states(back, p["E"] @ p["Wb"] + p["cb"], p["Ub"]) @ p["V"][h:]
+    out += back[::-1] if even else reversed_rows(back.transpose(1, 0, 2), lengths).transpose(1, 0, 2)
+    out += p["d"]
     pad = np.arange(x.shape[1])[:, None] >= lengths[None, :]
     out[pad] = -30
     out[pad, 0] = 0
@@ -87,6 +121,30 @@ def viterbi(e: np.ndarray, a: np.ndarray) -> np.ndarray:
     return tags
 
 
+def paths(e: np.ndarray, a: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Best tags (N) of the stretches of emissions e (N, K) that begin at starts, each decoded by itself; 0 elsewhere.
+    Stretches are taken by size, so that at each step those that are over stand last and no padding is reckoned."""
+    tags, scores, step, steps = np.zeros(len(e), np.int8), e.copy(), a[:, :, None], np.ascontiguousarray(a.T)
+    order = np.argsort(-sizes, kind="stable")
+    for lo in range(0, len(order), 1024):
+        first, n = starts[order[lo : lo + 1024]], sizes[order[lo : lo + 1024]]
+        going = np.searchsorted(-n, -np.arange(n[0] + 1), "left").tolist()  # how many are longer than 0, 1, ...
+        last = np.ascontiguousarray(e[first].T)
+        for i in range(1, n[0]):
+            at = first[: going[i]] + i
+            last = (last[:, None, : going[i]] + step).max(axis=0)
+            last += e[at].T
+            scores[at] = last.T
+        best = np.zeros(0, np.int64)
+        for i in range(n[0] - 1, -1, -1):
+            at = first[: going[i]] + i
+            s = scores[at]
+            s[: going[i + 1]] += steps[best]
+            best = s.argmax(axis=1)
+            tags[at] = best
+    return tags
+
+
 def _crf(e: np.ndarray, a: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Negative log likelihood per row, gradients for e (T, B, K) and a. y, mask: (T, B)."""
     t, b, k = e.shape

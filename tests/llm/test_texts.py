@@ -215,6 +215,50 @@ def test_names_in_lower_case():
     assert hits >= 0.7 * len(said) * len(names), hits
 
 
+def test_every_character_goes_through_the_network(monkeypatch):
+    """Also of texts that hold nothing but words of the vocabulary; groups of texts and windows leave nothing out."""
+    p, screen = personal.load()
+    scored, plain = [], personal._scored
+    monkeypatch.setattr(personal, "_scored", lambda p, data: scored.extend(data) or plain(p, data))
+    monkeypatch.setattr(personal, "AT_ONCE", 3000, raising=False)
+    text = " ".join(sorted(screen.common)[:400])
+    texts = ["The office moved the list.", "", text, "list", text[:2000], text[1:], "ok", ""]
+    assert personal.screened(text, screen) == [(0, len(text))] and len(personal.tag_batch(p, texts, screen)) == len(texts)
+    for t in filter(None, texts):
+        code, seen = tagger.encode(t), np.zeros(len(t), bool)
+        for a, b, first, last in personal.windows(0, len(t)):
+            assert code[a:b].tobytes() in scored
+            assert not seen[first:last].any()
+            seen[first:last] = True
+        assert seen.all()
+    scored.clear()
+    personal.tag_batch(p, ["code 1234 sent", "code 9876 sent"], screen)
+    assert len(scored) == 1  # equal but for their digits
+
+
+def test_what_the_viterbi_pass_leaves_out_changes_nothing():
+    p, rng = personal.load()[0], np.random.default_rng(4)
+    left_out = 0
+    for a in [p["A"], *(rng.normal(0, 3, p["A"].shape).astype(np.float32) for _ in range(4))]:
+        for _ in range(40):
+            ends = np.cumsum(rng.integers(1, 150, 12))
+            e = rng.normal(0, 3, (ends[-1], len(a))).astype(np.float32)
+            e[:, 0] += np.repeat(rng.choice([2, 9, 16], len(e) // 9 + 1), 9)[: len(e)]
+            tags = personal._decoded({"A": a}, e, ends)
+            assert tags.tolist() == np.concatenate([tagger.viterbi(x[:, None, :], a)[0] for x in np.split(e, ends[:-1])]).tolist()
+            left_out += personal.reach(a) is not None
+    assert left_out >= 40
+    assert personal.reach(np.where(np.eye(len(a)) > 0, 50, 0)) is not None and personal.reach(np.pad(np.full((10, 10), 9.0), (1, 0))) is None
+
+
+def test_inference_by_exp_is_the_network():
+    p = personal.load()[0]
+    x = np.random.default_rng(2).integers(0, tagger.SYMBOLS, (40, 7))
+    table = p["E"] @ p["Wf"] + p["cf"]
+    assert np.allclose(tagger._states(x, table, p["Uf"]), tagger._direction(x, table, p["Uf"]), atol=1e-4)
+    assert np.isfinite(tagger._states(x, 1000 * table, p["Uf"])).all()
+
+
 def test_min_cost_flow():
     arcs = [("s", "a", 3, 0), ("s", "a", 3, 1), ("a", "t", 5, 0), ("s", "b", 2, 5), ("b", "t", 9, 0)]
     total, flow, _ = mixing.min_cost_flow(arcs, "s", "t")
