@@ -34,6 +34,7 @@ MODEL = os.path.join(os.path.dirname(__file__), "models", "personal.npz")
 KINDS = ("email", "phone", "national_id", "street_address", "person_name")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 WINDOW, OVERLAP = 384, 48
+ROWS = 1024  # windows that go through the network side by side
 AT_ONCE = 1 << 20  # characters of texts that are scored together, a longer text by itself
 
 GAP = r"(?:[  ]|\r?\n(?:[ \t]*[>|])*[ \t]*)"  # a blank, or a line end of quoted text
@@ -53,6 +54,7 @@ ADDRESS = re.compile(
 )
 TITLE = re.compile(r"^(?:(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Hr|Fr|Mme|Mlle|Sr|Sra|Don|Doña|Sir|Madame|Monsieur|Señora?|Doctor)\.?\s+)+(?=\S{3,}|\S\.)", re.IGNORECASE)
 DOUBT = 4.0  # a character is in doubt if the emission of a tag comes this near to that of O
+ROUNDING = 0.05  # a path must be better by this much to be certain
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 
@@ -144,34 +146,33 @@ def align(text: str, s: int, e: int, kind: str, common: frozenset = frozenset())
     return s, e
 
 
-def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, end, kind number) of runs of tags."""
+def spans_of(tags: np.ndarray, ends: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(start, end, kind number) of runs of tags; none goes over one of the ends."""
     kind = np.where(tags > 0, (tags - 1) // 2, -1)
-    begin = np.flatnonzero((kind >= 0) & ((tags % 2 == 1) | (np.r_[-1, kind[:-1]] != kind)))
-    out = []
-    for i, s in enumerate(begin):
-        stop = begin[i + 1] if i + 1 < len(begin) else len(kind)
-        e = s + 1
-        while e < stop and kind[e] == kind[s]:
-            e += 1
-        out.append((int(s), int(e), int(kind[s])))
-    return out
+    fresh = np.r_[True, kind[1:] != kind[:-1]][: len(kind)]
+    if ends is not None:
+        fresh[ends[:-1]] = True
+    fresh |= tags % 2 == 1
+    change = np.r_[np.flatnonzero(fresh), len(kind)]
+    k = np.flatnonzero(kind[change[:-1]] >= 0)
+    return list(zip(change[k].tolist(), change[k + 1].tolist(), kind[change[k]].tolist()))
 
 
 def _scored(p: dict, data: list[bytes]) -> list[np.ndarray]:
     """Emissions (characters, tags) of each window of symbols."""
     sizes = [len(d) // 2 for d in data]
     out: list = [None] * len(data)
-    order = sorted(range(len(data)), key=sizes.__getitem__)
-    for lo in range(0, len(order), 512):
-        part = order[lo : lo + 512]
+    order = sorted(range(len(data)), key=sizes.__getitem__, reverse=True)
+    room = np.zeros(max(sizes, default=0) * min(len(order), ROWS) * (2 * p["Uf"].shape[0] + 1), np.float32)
+    for lo in range(0, len(order), ROWS):
+        part = order[lo : lo + ROWS]
         lengths = np.array([sizes[k] for k in part])
         x = np.zeros((len(part), int(lengths.max())), np.int16)
         for r, k in enumerate(part):
             x[r, : sizes[k]] = np.frombuffer(data[k], np.int16)
-        e = tagger.emissions(p, x, lengths)
+        e = tagger.emissions(p, x, lengths, room)
         for r, k in enumerate(part):
-            out[k] = e[: sizes[k], r].copy()
+            out[k] = e[: sizes[k], r]
     return out
 
 
@@ -189,22 +190,59 @@ def reach(a: np.ndarray) -> int | None:
     return 1 + int(max((back.max() - back.min()) / gain, (to.max() - to.min()) / gain, (stay - back.min()) / gain, (stay - to.min()) / gain, through / 2))
 
 
+def _before(gain: np.ndarray, fresh: np.ndarray, cut: float, enter: float) -> np.ndarray:
+    """What putting O in place of other tags gains at least before each character, wherever the path left O: enter if
+    only just now, otherwise either what it gained one character before and the gain there, or cut if the tags further
+    off are kept; 0 at the start of a region (fresh). Taken in pieces side by side, each begun with the least value."""
+    n = len(gain)
+    pieces = max(1, n // 512)
+    long = -(-n // pieces)
+    step, most = np.zeros(pieces * long, np.float32), np.full(pieces * long, enter, np.float32)
+    step[1:n] = gain[:-1]
+    step[:n][fresh], most[:n][fresh] = 1e9, 0
+    step, most = (np.ascontiguousarray(x.reshape(pieces, long).T) for x in (step, most))
+    last = np.full(pieces, min(cut, enter, 0), np.float32)
+    for now, top in zip(step, most):
+        now += last
+        np.maximum(now, cut, out=now)
+        np.minimum(now, top, out=now)
+        last = now
+    return step.T.reshape(-1)[:n]
+
+
+def certain(e: np.ndarray, a: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Characters of emissions e (N, K) at which every best path under transitions a is O; fresh: a region starts there.
+
+    If the path had another tag there, it would gain by O in its place and in that of neighbours: each of them gains its
+    margin over the best other tag, each step between them loses at most most - stay, and at either end the path goes
+    over from O, or from another tag, or the region ends. The sum of the least gains on both sides is above 0."""
+    gain = np.empty(len(e), np.float32)  # so far the margin
+    for k in range(0, len(e), 4096):
+        tags = np.ascontiguousarray(e[k : k + 4096].T)
+        np.subtract(tags[0], tags[1:].max(axis=0), out=gain[k : k + 4096])
+    stay, lost, inner = a[0, 0], a[1:, 1:].max() - a[0, 0], a[1:, 1:]
+    gain -= lost
+    left = _before(gain, fresh, (a[1:, 0] - inner.max(axis=1)).min(), stay - a[0, 1:].max())
+    right = _before(gain[::-1], np.r_[fresh[1:], True][::-1], (a[0, 1:] - inner.max(axis=0)).min(), stay - a[1:, 0].max())[::-1]
+    return left + right + gain + lost > ROUNDING
+
+
 def _decoded(p: dict, e: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Tags of regions that stand one behind the other in e, ends being their ends. Only stretches near characters in doubt
-    go through the Viterbi pass; everywhere else the path of the whole region is O (see reach)."""
-    most = e[:, 1].copy()
-    for k in range(2, e.shape[1]):
-        np.maximum(most, e[:, k], out=most)
-    doubt = most > e[:, 0] - DOUBT
-    far = reach(p["A"])
-    wide = doubt.copy() if far is not None else np.ones(len(e), bool)
-    for k in range(1, min(far or 0, len(e) - 1) + 1):  # certain characters on both sides, where the region goes on
-        wide[k:] |= doubt[:-k]
-        wide[:-k] |= doubt[k:]
-    region = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    fresh = np.flatnonzero(wide & (np.r_[True, ~wide[:-1]] | np.r_[True, region[1:] != region[:-1]]))
-    stop = np.flatnonzero(wide & (np.r_[~wide[1:], True] | np.r_[region[1:] != region[:-1], True])) + 1
-    return tagger.paths(e, p["A"], fresh, stop - fresh)
+    """Tags of regions that stand one behind the other in e, ends being their ends. Only stretches of characters that are
+    not certain go through the Viterbi pass, between the O on either side; everywhere else the path of the whole region
+    is O (see certain)."""
+    a, fresh = p["A"], np.zeros(len(e), bool)
+    fresh[0], fresh[ends[:-1]] = True, True
+    wide = np.ones(len(e), bool) if reach(a) is None else ~certain(e, a, fresh)  # without a reach hardly any are
+    over = np.r_[fresh[1:], True]
+    start = np.flatnonzero(wide & (np.r_[True, ~wide[:-1]] | fresh))
+    last = np.flatnonzero(wide & (np.r_[~wide[1:], True] | over))
+    sizes, part, tags = last + 1 - start, e[wide], np.zeros(len(e), np.int8)
+    stop = np.cumsum(sizes)
+    part[(stop - sizes)[~fresh[start]]] += a[0]
+    part[(stop - 1)[~over[last]]] += a[:, 0]
+    tags[wide] = tagger.paths(part, a, stop - sizes, sizes)
+    return tags
 
 
 def _tagged(p: dict, texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -219,10 +257,12 @@ def _tagged(p: dict, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         for a, b, first, last in windows(0, len(code) // 2):
             pieces.append((cut.setdefault(code[2 * a : 2 * b], len(cut)), first - a, last - a))
     scores = _scored(p, list(cut))
-    sizes = np.array([len(c) // 2 for c in index])
-    ends = np.cumsum(sizes)
+    ends = np.cumsum([len(c) // 2 for c in index])
     tags = _decoded(p, np.concatenate([scores[k][a:b] for k, a, b in pieces]), ends)
-    found = [spans_of(tags[hi - n : hi]) if tags[hi - n : hi].any() else [] for n, hi in zip(sizes, ends)]
+    found, runs = [[] for _ in index], spans_of(tags, ends)
+    starts = [0, *ends.tolist()]
+    for k, (s, e, kind) in zip(np.searchsorted(ends, [s for s, *_ in runs], "right").tolist(), runs):
+        found[k].append((s - starts[k], e - starts[k], kind))
     return [found[k] for k in places]
 
 

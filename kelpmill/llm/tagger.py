@@ -33,36 +33,42 @@ def _gates(z: np.ndarray, h: int) -> None:
     z[:, : 3 * h] += 0.5
 
 
-def _states(x: np.ndarray, table: np.ndarray, u: np.ndarray) -> np.ndarray:
+def _states(x: np.ndarray, table: np.ndarray, u: np.ndarray, w: np.ndarray | None = None, going: list[int] | None = None, back: bool = False, out: np.ndarray | None = None) -> np.ndarray:
     """Hidden states (T, B, H) of symbol rows x (T, B), as _direction gives them, for inference: all gates by one exp,
-    tanh(z) being 2 / (1 + exp(-2 z)) - 1, in buffers that are used again."""
+    tanh(z) being 2 / (1 + exp(-2 z)) - 1, in buffers that are used again, each gate's values standing together.
+
+    The gates get table[x] @ w, or table[x] itself. going: how many rows are longer than 0, 1, ...; rows stand longest
+    first and nothing is reckoned behind their ends. back: from the ends to the starts. out: (T, H, B), zero behind the ends."""
     t, b = x.shape
-    h = u.shape[0]
+    h, m = u.shape[0], table.shape[1]
     scale = np.r_[np.full(3 * h, -1), np.full(h, -2)].astype(np.float32)
-    table, u = table * scale, u * scale
-    out, hid, cell = np.empty((t, b, h), np.float32), np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
-    z, row, new = np.empty((b, 4 * h), np.float32), np.empty((b, 4 * h), np.float32), np.empty((b, h), np.float32)
+    w = np.ascontiguousarray((np.concatenate([u, np.eye(m, dtype=np.float32) if w is None else w]) * scale).T)
+    table, x = np.ascontiguousarray(table.T), x.astype(np.intp)
+    out = np.zeros((t, h, b), np.float32) if out is None else out
+    inputs, cells, gates, news = (np.zeros((n, b), np.float32) for n in (h + m, h, 4 * h, h))  # cells: times -2
+    symbols, n = inputs[h:], 0
+    one, two, four = (np.array(v, np.float32) for v in (1, 2, -4))
     with np.errstate(over="ignore"):  # exp gives inf, its gate 0
-        for k in range(t):
-            np.matmul(hid, u, out=z)
-            np.take(table, x[k], axis=0, out=row, mode="clip")
-            z += row
-            np.exp(z, out=z)
-            z += 1
-            np.reciprocal(z, out=z)
-            np.multiply(z[:, 3 * h :], 2, out=new)
-            new -= 1
-            new *= z[:, :h]
-            cell *= z[:, h : 2 * h]
-            cell += new
-            np.multiply(cell, -2, out=new)
-            np.exp(new, out=new)
-            new += 1
-            np.divide(2, new, out=new)
-            new -= 1
-            hid = out[k]
-            np.multiply(new, z[:, 2 * h : 3 * h], out=hid)
-    return out
+        for k in range(t - 1, -1, -1) if back else range(t):
+            if n != (n := going[k] if going else b):
+                before, hid, z, cell, new = inputs[:, :n], inputs[:h, :n], gates[:, :n], cells[:, :n], news[:, :n]
+                i, f, o, g = (z[j * h : (j + 1) * h] for j in range(4))
+            table.take(x[k], 1, symbols, "clip")
+            np.matmul(w, before, z)
+            np.exp(z, z)
+            np.add(z, one, z)
+            np.divide(four, g, new)
+            np.add(new, two, new)
+            np.divide(new, i, new)
+            np.divide(cell, f, cell)
+            np.add(cell, new, cell)
+            np.exp(cell, new)
+            np.add(new, one, new)
+            np.divide(two, new, new)
+            np.subtract(new, one, new)
+            np.divide(new, o, hid)
+            out[k, :, :n] = hid
+    return out.transpose(0, 2, 1)
 
 
 def _direction(x: np.ndarray, table: np.ndarray, u: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -92,19 +98,28 @@ def reversed_rows(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.take_along_axis(x, back if x.ndim == 2 else back[:, :, None], 1)
 
 
-def emissions(p: dict, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """(T, B, tags) of symbol rows x (B, T)."""
-    h = p["Uf"].shape[0]
-    even = int(lengths.min()) == x.shape[1]
-    out = _states(np.ascontiguousarray(x.T), p["E"] @ p["Wf"] + p["cf"], p["Uf"]) @ p["V"][:h]
-    back = np.ascontiguousarray((x[:, ::-1] if even else reversed_rows(x, lengths)).T)
-    back = _states(back, p["E"] @ p["Wb"] + p["cb"], p["Ub"]) @ p["V"][h:]
-    out += back[::-1] if even else reversed_rows(back.transpose(1, 0, 2), lengths).transpose(1, 0, 2)
-    out += p["d"]
-    pad = np.arange(x.shape[1])[:, None] >= lengths[None, :]
-    out[pad] = -30
-    out[pad, 0] = 0
-    return out
+def emissions(p: dict, x: np.ndarray, lengths: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """(T, B, tags) of symbol rows x (B, T). room: for states, T * B * (2 H + 1) finite numbers or more."""
+    if (lengths[1:] > lengths[:-1]).any():  # longest first
+        order = np.argsort(-lengths, kind="stable")
+        return emissions(p, x[order], lengths[order], room)[:, np.argsort(order)]
+    h, (b, t) = p["Uf"].shape[0], x.shape
+    going = np.searchsorted(-lengths, -np.arange(t), "left").tolist()
+    room = np.zeros(t * b * (2 * h + 1), np.float32) if room is None else room
+    x, both = np.ascontiguousarray(x.T), room[: t * b * (2 * h + 1)].reshape(t, 2 * h + 1, b)
+    table = np.concatenate([p["E"], np.ones((len(p["E"]), 1), np.float32)], axis=1)
+    _states(x, table, p["Uf"], np.concatenate([p["Wf"], p["cf"][None]]), going, False, both[:, :h])
+    _states(x, table, p["Ub"], np.concatenate([p["Wb"], p["cb"][None]]), going, True, both[:, h : 2 * h])
+    both[:, 2 * h] = 1
+    v = np.concatenate([p["V"], p["d"][None]])
+    out = np.empty((b, t, v.shape[1]), np.float32)
+    for k in range(0, t, 16):  # turned round while they are in the cache
+        out[:, k : k + 16] = (both[k : k + 16].transpose(0, 2, 1) @ v).transpose(1, 0, 2)
+    if going[-1] < b:
+        pad = np.arange(t)[None, :] >= lengths[:, None]
+        out[pad] = -30
+        out[pad, 0] = 0
+    return out.transpose(1, 0, 2)
 
 
 def viterbi(e: np.ndarray, a: np.ndarray) -> np.ndarray:

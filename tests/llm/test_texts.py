@@ -251,6 +251,59 @@ def test_what_the_viterbi_pass_leaves_out_changes_nothing():
     assert personal.reach(np.where(np.eye(len(a)) > 0, 50, 0)) is not None and personal.reach(np.pad(np.full((10, 10), 9.0), (1, 0))) is None
 
 
+def test_only_characters_that_are_not_certain_go_through_the_viterbi_pass(monkeypatch):
+    p, screen = personal.load()
+    taken, plain = [], tagger.paths
+    monkeypatch.setattr(tagger, "paths", lambda e, a, starts, sizes: taken.append(int(sizes.sum())) or plain(e, a, starts, sizes))
+    texts = [f"{k} The office moved the list to Monday, so please send the notes before noon. Call 010-0001-0003 or ask Flora Linquist. " * k for k in (1, 4, 60)]
+    for t in texts:
+        taken.clear()
+        found = personal._tagged(p, [t])[0]
+        parts = [(personal._scored(p, [tagger.encode(t[a:b]).tobytes()])[0], f - a, z - a) for a, b, f, z in personal.windows(0, len(t))]
+        whole = np.concatenate([e[f:z] for e, f, z in parts])
+        assert found == personal.spans_of(tagger.viterbi(whole[:, None, :], p["A"])[0]) and found
+        assert sum(taken) < 0.6 * len(t), (sum(taken), len(t))
+
+
+def test_the_best_path_is_o_wherever_that_is_certain():
+    p, rng = personal.load()[0], np.random.default_rng(5)
+    seen = [0, 0]
+    for trained in (True, False):
+        for k in range(60):
+            a = p["A"] if trained else rng.normal(0, 2, p["A"].shape).astype(np.float32)
+            ends = np.cumsum(rng.integers(1, 400, 10))
+            e = rng.normal(0, 2, (ends[-1], len(a))).astype(np.float32)
+            e[:, 0] += np.repeat(rng.choice([-1, 3, 7, 12], len(e) // 6 + 1), 6)[: len(e)]
+            fresh = np.zeros(len(e), bool)
+            fresh[np.r_[0, ends[:-1]]] = True
+            sure = personal.certain(e, a, fresh)
+            best = np.concatenate([tagger.viterbi(x[:, None, :], a)[0] for x in np.split(e, ends[:-1])])
+            assert not best[sure].any()
+            seen[trained] += int(sure.sum())
+    assert min(seen) > 5000, seen
+
+
+def test_rows_of_different_lengths_go_through_the_network_side_by_side():
+    p, rng = personal.load()[0], np.random.default_rng(6)
+    lengths = np.array([5, 40, 1, 17, 40, 33])
+    x = rng.integers(0, tagger.SYMBOLS, (len(lengths), 40)).astype(np.int16)
+    for order in (np.arange(6), np.argsort(-lengths), np.argsort(lengths)):
+        got = tagger.emissions(p, x[order], lengths[order], np.full(10**5, 7, np.float32))
+        for r, k in enumerate(order):
+            n, one = lengths[k], x[k : k + 1, : lengths[k]]
+            f = tagger._direction(one.T, p["E"] @ p["Wf"] + p["cf"], p["Uf"])[:, 0]
+            b = tagger._direction(one[:, ::-1].T, p["E"] @ p["Wb"] + p["cb"], p["Ub"])[::-1, 0]
+            assert np.allclose(got[:n, r], np.concatenate([f, b], axis=1) @ p["V"] + p["d"], atol=1e-3)
+            assert (got[n:, r, 0] == 0).all() and (got[n:, r, 1:] == -30).all()
+
+
+def test_runs_of_tags_end_with_their_text():
+    tags = np.array([0, 1, 2, 2, 4, 4, 3, 3, 0, 2, 2, 10, 10])
+    assert personal.spans_of(tags) == [(1, 4, 0), (4, 6, 1), (6, 7, 1), (7, 8, 1), (9, 11, 0), (11, 13, 4)]
+    assert personal.spans_of(tags, np.array([3, 12, 13])) == [(1, 3, 0), (3, 4, 0), (4, 6, 1), (6, 7, 1), (7, 8, 1), (9, 11, 0), (11, 12, 4), (12, 13, 4)]
+    assert personal.spans_of(np.zeros(0, np.int8)) == [] and personal.spans_of(np.zeros(3, np.int8)) == []
+
+
 def test_inference_by_exp_is_the_network():
     p = personal.load()[0]
     x = np.random.default_rng(2).integers(0, tagger.SYMBOLS, (40, 7))
